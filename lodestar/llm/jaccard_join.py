@@ -9,6 +9,8 @@ n - ceil(percent n / 100) + 1 smallest), so documents meet by those hashes in ta
 leaves few pairs, and those are verified on the whole sets. No link is lost: bounds are never below
 the true overlap.
 
+Every meeting carries a coarse point. What passes it is looked at again with a fine point, which has
+more groups the larger the set (a fine point folds to a coarser one by adding coordinates).
 Equal sets are one node. A group that meets first links around the points nearest to its mean; later
 rounds look only at pairs whose nodes are not yet connected, so a group of near copies of any
 size costs about one verified pair per member instead of all pairs.
@@ -31,6 +33,8 @@ GROUPS = 32
 BROADCAST_IDS = 1_000_000
 #: Groups up to so many members emit every pair that passes the bound at once.
 SMALL_GROUP = 4
+#: Groups of fine points: so many for sets up to so many elements.
+FINE = ((64, 512), (256, 4096), (1024, 1 << 62))
 #: In the first later round, so many best candidates for each node and component; 16 times more in each next.
 FIRST_LIST = 8
 
@@ -38,9 +42,29 @@ FIRST_LIST = 8
 UPPER = np.array([*range(161), *np.ceil(160 * 1.04 ** np.arange(1, 94)).astype(int), 2**30, 2**30], dtype=np.int32)
 
 
-def point(elements: np.ndarray) -> bytes:
+def point(elements: np.ndarray, groups: int = GROUPS) -> bytes:
     """The coded counts by group of a set."""
-    return np.searchsorted(UPPER, np.bincount((elements % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)).astype(np.uint8).tobytes()
+    return np.searchsorted(UPPER, np.bincount((elements & np.uint64(groups - 1)).astype(np.int64), minlength=groups)).astype(np.uint8).tobytes()
+
+
+def fine_point(elements: np.ndarray) -> bytes:
+    return point(elements, next(g for g, most in FINE if len(elements) <= most))
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """Counts with fewer groups: rows of counts, coordinates added."""
+    return counts.reshape(len(counts), -1, groups).sum(axis=1)
+
+
+def bound(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Upper bounds of the overlaps of pairs of fine points."""
+    out = np.empty(len(left), np.int64)
+    sizes = np.array([(len(x), len(y)) for x, y in zip(left, right, strict=True)]).reshape(-1, 2)
+    for x, y in np.unique(sizes, axis=0):
+        at, least = np.flatnonzero((sizes == (x, y)).all(axis=1)), min(x, y)
+        a, b = (folded(UPPER[np.frombuffer(b"".join(side[i] for i in at), np.uint8)].reshape(len(at), -1), least) for side in (left, right))
+        out[at] = np.minimum(a, b).sum(axis=1)
+    return out
 
 
 class CountTree:
@@ -80,6 +104,37 @@ class CountTree:
         return self.order[rows[passed]], overlap[passed]
 
 
+class Forest:
+    """Trees over fine points: one for each number of groups, and folded ones for queries with fewer groups."""
+
+    def __init__(self, sizes: np.ndarray, points: list[bytes], percent: int):
+        self.sizes, self.percent, self.trees = sizes, percent, {}
+        length = np.array([len(x) for x in points])
+        self.rows = {g: np.flatnonzero(length == g) for g in np.unique(length)}
+        self.counts = {g: UPPER[np.frombuffer(b"".join(points[i] for i in at), np.uint8)].reshape(len(at), -1) for g, at in self.rows.items()}
+        self.place = {i: (g, k) for g, at in self.rows.items() for k, i in enumerate(at)}
+
+    def from_mean(self) -> np.ndarray:
+        """Positions by their distance to the mean of coarse points."""
+        coarse = np.empty((len(self.sizes), GROUPS), np.int64)
+        for g, at in self.rows.items():
+            coarse[at] = folded(self.counts[g], GROUPS)
+        return np.argsort(np.abs(coarse - coarse.mean(axis=0)).sum(axis=1), kind="stable")
+
+    def query(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions that may link with position ``i``, itself included, and their overlap bounds."""
+        own, k = self.place[i]
+        found, overlaps = [], []
+        for g, at in self.rows.items():
+            least = min(g, own)
+            if (g, least) not in self.trees:
+                self.trees[g, least] = CountTree(self.sizes[at], folded(self.counts[g], least), self.percent)
+            hits, overlap = self.trees[g, least].query(self.sizes[i], folded(self.counts[own][k : k + 1], least)[0])
+            found.append(at[hits])
+            overlaps.append(overlap)
+        return np.concatenate(found), np.concatenate(overlaps)
+
+
 def name_of(elements: np.ndarray) -> int:
     """The signed 64-bit name of a set."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes())).astype(np.int64))
@@ -100,23 +155,24 @@ def sets_of(width: int):
 
 
 def signatures_of(width: int, percent: int):
-    """Arrow function: (doc_id, n, node, point, smallest) of each text."""
+    """Arrow function: (doc_id, n, node, point, fine, smallest) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            n, node, points, smallest = [], [], [], []
+            n, node, points, fine, smallest = [], [], [], [], []
             for text in binaries(batch.column("text")):
                 elements = shingles(hashes.of((text or b"").lower().split()), width)
                 k = len(elements)
                 n.append(k)
                 node.append(name_of(elements) if k else None)
                 points.append(point(elements))
+                fine.append(fine_point(elements))
                 smallest.append(elements[: k - -(-percent * k // 100) + 1 if k else 0].view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in smallest])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(points, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *smallest])))],
-                names=["doc_id", "n", "node", "point", "smallest"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *smallest])))],
+                names=["doc_id", "n", "node", "point", "fine", "smallest"],
             )
 
     return run
@@ -134,6 +190,10 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tup
             if name == "point":
                 data = np.frombuffer(column.buffers()[2], dtype=np.uint8)
                 now.append(data[column.offset * GROUPS : (column.offset + len(column)) * GROUPS].reshape(-1, GROUPS))
+            elif name == "fine":
+                fine = np.empty(len(column), object)
+                fine[:] = column.to_pylist()
+                now.append(fine)
             else:
                 now.append(column.to_numpy(zero_copy_only=False))
         if kept is not None:
@@ -151,49 +211,83 @@ def _batch(kind: int, a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
 
 
-def first_links(percent: int):
-    """Arrow function over rows sorted by h: kind 0, pairs (a, b) to verify; kind 1, (h, node) of groups that a later round looks at again."""
+def meetings(percent: int):
+    """Arrow function over (h, node, n, point) sorted by h: kind 0, pairs (a, b) whose coarse points may link, of groups of few; kind 1, (h, node) of larger groups that have such pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (h, node, n, code), starts in _groups(batches, ["h", "node", "n", "point"]):
             a, b, gh, gn = [], [], [], []
             sizes = np.diff(starts)
-            i = starts[:-1][sizes == 2]
-            if len(i):
-                j = i + 1
-                overlap = np.minimum(UPPER[code[i]], UPPER[code[j]]).sum(axis=1).astype(np.int64)
-                may = ((100 + percent) * overlap >= percent * (n[i] + n[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (node[i] != node[j])
-                a.append(node[i[may]])
-                b.append(node[j[may]])
-            for s, k in zip(starts[:-1][sizes > 2], sizes[sizes > 2], strict=True):
+            for k in range(2, SMALL_GROUP + 1):
+                first = starts[:-1][sizes == k]
+                for x in range(k if len(first) else 0):
+                    for y in range(x + 1, k):
+                        i, j = first + x, first + y
+                        overlap = np.minimum(UPPER[code[i]], UPPER[code[j]]).sum(axis=1)
+                        may = ((100 + percent) * overlap >= percent * (n[i] + n[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (node[i] != node[j])
+                        a.append(np.minimum(node[i[may]], node[j[may]]))
+                        b.append(np.maximum(node[i[may]], node[j[may]]))
+            for s, k in zip(starts[:-1][sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP], strict=True):
                 _, own = np.unique(node[s : s + k], return_index=True)
                 own = own + s
-                if len(own) < 2:
-                    continue
-                ids, size, counts = node[own], n[own], UPPER[code[own]]
-                if 100 * size.min() < percent * size.max() and len(own) == 2:
-                    continue
+                size, counts = n[own], UPPER[code[own]]
                 tree = CountTree(size, counts, percent)
-                every = len(own) <= SMALL_GROUP
-                alive, hits_any = np.ones(len(own), bool), False
-                for c in np.argsort(np.abs(counts - counts.mean(axis=0)).sum(axis=1), kind="stable"):
+                may = np.array([len(tree.query(size[c], counts[c])[0]) > 1 for c in range(len(own))])
+                if may.any():
+                    gh.append(np.full(may.sum(), h[s]))
+                    gn.append(node[own[may]])
+            if a:
+                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+                yield _batch(0, [pairs[:, 0]], [pairs[:, 1]])
+            if gh:
+                yield _batch(1, gh, gn)
+
+    return run
+
+
+def fine_pairs(percent: int):
+    """Arrow function over (a, b, total, left, right): the pairs (a, b) whose fine points may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            overlap = bound(batch.column("left").to_pylist(), batch.column("right").to_pylist())
+            may = (100 + percent) * overlap >= percent * batch.column("total").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(may))
+
+    return run
+
+
+def first_links(percent: int):
+    """Arrow function over (h, node, n, fine) sorted by h: kind 0, pairs (a, b) to verify; kind 1, (h, node) of groups that a later round looks at again.
+
+    Each node in order of its distance to the mean takes those that may link with it out of the group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (h, node, n, fine), starts in _groups(batches, ["h", "node", "n", "fine"]):
+            a, b, gh, gn = [], [], [], []
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                _, own = np.unique(node[s:e], return_index=True)
+                own = own + s
+                ids, forest = node[own], Forest(n[own], list(fine[own]), percent)
+                alive, again = np.ones(len(own), bool), np.zeros(len(own), bool)
+                for c in forest.from_mean():
                     if not alive[c]:
                         continue
                     alive[c] = False
-                    hits = tree.query(size[c], counts[c])[0]
+                    hits = forest.query(c)[0]
+                    hits = hits[hits != c]
+                    again[hits] |= not alive[hits].all() or len(hits) > 1
+                    again[c] |= not alive[hits].all()
                     hits = hits[alive[hits]]
-                    if len(hits):
-                        a.append(np.full(len(hits), ids[c]))
-                        b.append(ids[hits])
-                        if not every:
-                            hits_any = True
-                            alive[hits] = False
-                if hits_any:
+                    a.append(np.minimum(ids[hits], ids[c]))
+                    b.append(np.maximum(ids[hits], ids[c]))
+                    alive[hits] = False
+                if again.any():
                     gh.append(np.full(len(own), h[s]))
                     gn.append(ids)
             if a:
-                low, high = np.minimum(np.concatenate(a), np.concatenate(b)), np.maximum(np.concatenate(a), np.concatenate(b))
-                pairs = np.unique(np.stack([low, high], axis=1), axis=0)
+                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
                 yield _batch(0, [pairs[:, 0]], [pairs[:, 1]])
             if gh:
                 yield _batch(1, gh, gn)
@@ -202,22 +296,22 @@ def first_links(percent: int):
 
 
 def later_links(percent: int, most: int):
-    """Arrow function over (h, node, root, n, point) sorted by h: pairs of different roots, the ``most`` best for each node and root; kind 1 where some are left."""
+    """Arrow function over (h, node, root, n, fine) sorted by h: pairs of different roots, the ``most`` best for each node and root; kind 1 where some are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (h, node, root, n, code), starts in _groups(batches, ["h", "node", "root", "n", "point"]):
+        for (h, node, root, n, fine), starts in _groups(batches, ["h", "node", "root", "n", "fine"]):
             a, b, gh, gn = [], [], [], []
             for s, e in zip(starts[:-1], starts[1:], strict=True):
                 _, own = np.unique(node[s:e], return_index=True)
                 own = own + s
-                ids, size, counts = node[own], n[own], UPPER[code[own]]
+                ids, size = node[own], n[own]
                 _, of, many = np.unique(root[own], return_inverse=True, return_counts=True)
                 if len(many) < 2:
                     continue
-                tree, left = CountTree(size, counts, percent), False
+                forest, left = Forest(size, list(fine[own]), percent), False
                 main = np.argmax(many)
                 for c in np.flatnonzero(of != main):
-                    hits, overlap = tree.query(size[c], counts[c])
+                    hits, overlap = forest.query(c)
                     other = (of[hits] != of[c]) & ((of[hits] == main) | (hits > c))
                     hits, overlap = hits[other], overlap[other]
                     if not len(hits):
@@ -234,7 +328,8 @@ def later_links(percent: int, most: int):
                     gh.append(np.full(len(own), h[s]))
                     gn.append(ids)
             if a:
-                yield _batch(0, a, b)
+                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+                yield _batch(0, [pairs[:, 0]], [pairs[:, 1]])
             if gh:
                 yield _batch(1, gh, gn)
 
@@ -253,44 +348,51 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and a null component. An empty table gives no rows. Other columns of the input are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = durable(rows.mapInArrow(signatures_of(width, percent), "doc_id long, n long, node long, point binary, smallest array<long>"), "jaccard-signatures")
+    signed = durable(rows.mapInArrow(signatures_of(width, percent), "doc_id long, n long, node long, point binary, fine binary, smallest array<long>"), "jaccard-signatures")
     known = signed.where("node is not null and doc_id is not null")
     lowest = durable(known.groupBy("node").agg(F.min("doc_id").alias("low")), "jaccard-classes")
+    repeated = known.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0  # an id with several rows
     reps = known.join(lowest.select("node", F.col("low").alias("doc_id")), ["node", "doc_id"], "left_semi")
-    met = reps.select(F.explode("smallest").alias("h"), "node", "n", "point").repartition("h").sortWithinPartitions("h")
-    links = durable(met.mapInArrow(first_links(percent), LINKS), "jaccard-links")
-
-    pairs, groups = links.where("kind = 0").select("a", "b"), links.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("node"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(groups.select("node")).distinct()
-    wanted = durable(wanted.join(lowest, "node").select("node", F.col("low").alias("doc_id")), "jaccard-wanted")
-    points = signed.select("doc_id", "node", "n", "point").join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["node"])
-    sets = rows.join(small(wanted.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi").select("text").mapInArrow(sets_of(width), "node long, elements array<long>")
-    if known.groupBy("doc_id").count().where("count > 1").limit(1).count():  # an id with several rows
-        sets = sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = durable(sets, "jaccard-sets")
+    reps = reps.dropDuplicates(["node"]) if repeated else reps
+    points = reps.select("node", "n", "fine")
+
+    def dealt(found: DataFrame, names: list[str], run) -> DataFrame:
+        return durable(found.select("h", *names).repartition("h").sortWithinPartitions("h").mapInArrow(run, LINKS), "jaccard-links")
+
+    def grouped(links: DataFrame) -> DataFrame:
+        return links.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("node"))
 
     def verified(found: DataFrame) -> DataFrame:
-        left = found.distinct().join(sets.select(F.col("node").alias("a"), F.col("elements").alias("left")), "a")
+        """The pairs that link, by their whole sets."""
+        found = durable(found.distinct(), "jaccard-pairs")
+        wanted = durable(found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(lowest, "node").select("node", F.col("low").alias("doc_id")), "jaccard-wanted")
+        sets = rows.join(small(wanted.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi").select("text").mapInArrow(sets_of(width), "node long, elements array<long>")
+        sets = durable(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]) if repeated else sets, "jaccard-sets")
+        left = found.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("left")), "a")
         both = left.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("right")), "b")
         common = both.select("a", "b", F.size(F.array_intersect("left", "right")).alias("common"), (F.size("left") + F.size("right")).alias("total"))
-        return common.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
-
-    edges = durable(verified(pairs), "jaccard-edges")
-    roots = components(edges)
-    most = FIRST_LIST
+        return durable(common.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b"), "jaccard-edges")
+
+    met = dealt(reps.select(F.explode("smallest").alias("h"), "node", "n", "point"), ["node", "n", "point"], meetings(percent))
+    pairs = met.where("kind = 0").select("a", "b").distinct()
+    left, right = points.toDF("a", "n", "left"), points.toDF("b", "m", "right")
+    pairs = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("n") + F.col("m")).alias("total"), "left", "right").mapInArrow(fine_pairs(percent), "a long, b long")
+    links = dealt(grouped(met).join(points, "node"), ["node", "n", "fine"], first_links(percent))
+    edges = verified(pairs.union(links.where("kind = 0").select("a", "b")))
+    roots, groups, most = components(edges), grouped(links), FIRST_LIST
     while True:
         placed = groups.join(roots, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
         mixed = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
         again = durable(placed.join(mixed, "h", "left_semi"), "jaccard-again")
         if again.limit(1).count() == 0:
             break
-        rows_again = again.join(points.select("node", "n", "point"), "node").select("h", "node", "root", "n", "point")
-        links = durable(rows_again.repartition("h").sortWithinPartitions("h").mapInArrow(later_links(percent, most), LINKS), "jaccard-links")
-        more = durable(verified(links.where("kind = 0").select("a", "b")), "jaccard-edges")
-        if more.limit(1).count():
-            edges = edges.union(more)
-            roots = components(edges)
-        groups = links.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("node"))
+        links = dealt(again.join(points, "node"), ["node", "root", "n", "fine"], later_links(percent, most))
+        if links.where("kind = 0").limit(1).count():
+            more = verified(links.where("kind = 0").select("a", "b"))
+            if more.limit(1).count():
+                edges = edges.union(more)
+                roots = components(edges)
+        groups = grouped(links)
         most *= 16
 
     lows = roots.join(lowest, "node")
