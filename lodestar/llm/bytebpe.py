@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import base64
 import re
+from pathlib import Path
 
 import numpy as np
 
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 500_000
 #: Two adjacent white-space characters, or the text of a special token: such a text is encoded as a whole.
 WHOLE = re.compile(r"\s\s|<\|")
+#: The published pre-tokenizing pattern of this vocabulary (fixed value).
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The first character beyond the Latin blocks.
+LATIN_END = "\u0250"
 
 
 class ByteBpe:
@@ -16,7 +22,9 @@ class ByteBpe:
 
     No token crosses a space that stands alone, so a text's ids are those of its chunks, each a
     space and what follows up to the next. Chunks repeat; their ids are remembered up to a fixed
-    number. Texts with adjacent white space or special tokens are encoded as they are.
+    number. Texts with adjacent white space or special tokens are encoded as they are. Where the same
+    vocabulary lies beside the file as ranks (``.tiktoken``), chunks of Latin letters are encoded by
+    it, which gives the same ids in a third of the time; all others by ``tokenizers``.
     """
 
     def __init__(self, path: str):
@@ -24,6 +32,27 @@ class ByteBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.chunks: dict[str, bytes] = {}
+        self.ranks = None
+        beside = Path(path).with_suffix(".tiktoken")
+        if beside.exists():
+            import tiktoken
+
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, beside.read_bytes().splitlines())}
+            self.ranks = tiktoken.Encoding(beside.stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def fresh(self, chunks: list[str]) -> None:
+        """Remember the ids of new chunks."""
+        if self.ranks is not None:
+            other = []
+            for x in chunks:
+                if x.isascii() or max(x) < LATIN_END:
+                    self.chunks[x] = np.array(self.ranks.encode_ordinary(" " + x), dtype="<u4").tobytes()
+                else:
+                    other.append(x)
+            chunks = other
+        if chunks:
+            for x, found in zip(chunks, self.tokenizer.encode_batch_fast([" " + x for x in chunks], add_special_tokens=False), strict=True):
+                self.chunks[x] = np.array(found.ids, dtype="<u4").tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -46,6 +75,5 @@ class ByteBpe:
         if len(chunks) + len(missing) > CACHE_CHUNKS:
             chunks.clear()
             missing = list(set(rest))
-        for x, found in zip(missing, self.tokenizer.encode_batch_fast([" " + x for x in missing], add_special_tokens=False), strict=True):
-            chunks[x] = np.array(found.ids, dtype="<u4").tobytes()
+        self.fresh(missing)
         return head + b"".join(map(chunks.__getitem__, rest))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from typing import Any
 
 import numpy as np
 import xxhash
@@ -49,6 +51,14 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df
 
 
+def worker_cache(key: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, kept for later tasks of the same Python worker."""
+    kept = vars(sys).setdefault("_lodestar_worker_cache", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered per worker up to a fixed number of words."""
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WordHashes, binaries, components, durable, shingles, small
+from lodestar.llm.common import WordHashes, binaries, components, durable, shingles, small, worker_cache
 
 GROUPS = 32
 #: Node ids of at most so many are broadcast (8 bytes each); more are joined by a shuffle.
@@ -144,7 +144,7 @@ def sets_of(width: int):
     """Arrow function: (node, elements), the name and the sorted hashes of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = worker_cache("words", WordHashes)
         for batch in batches:
             found = [shingles(hashes.of((text or b"").lower().split()), width) for text in binaries(batch.column("text"))]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
@@ -158,7 +158,7 @@ def signatures_of(width: int, percent: int):
     """Arrow function: (doc_id, n, node, point, fine, smallest) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = worker_cache("words", WordHashes)
         for batch in batches:
             n, node, points, fine, smallest = [], [], [], [], []
             for text in binaries(batch.column("text")):
