@@ -34,7 +34,9 @@ BROADCAST_IDS = 1_000_000
 #: Groups up to so many members emit every pair that passes the bound at once.
 SMALL_GROUP = 4
 #: Groups of fine points: so many for sets up to so many elements.
-FINE = ((64, 512), (256, 4096), (1024, 1 << 62))
+FINE = ((256, 512), (1024, 4096), (4096, 1 << 62))
+#: Groups to which fine points are folded in trees.
+TREE = 64
 #: In the first later round, so many best candidates for each node and component; 16 times more in each next.
 FIRST_LIST = 8
 
@@ -44,7 +46,8 @@ UPPER = np.array([*range(161), *np.ceil(160 * 1.04 ** np.arange(1, 94)).astype(i
 
 def point(elements: np.ndarray, groups: int = GROUPS) -> bytes:
     """The coded counts by group of a set."""
-    return np.searchsorted(UPPER, np.bincount((elements & np.uint64(groups - 1)).astype(np.int64), minlength=groups)).astype(np.uint8).tobytes()
+    counts = np.bincount((elements & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return (counts if counts.max() <= 160 else np.searchsorted(UPPER, counts)).astype(np.uint8).tobytes()
 
 
 def fine_point(elements: np.ndarray) -> bytes:
@@ -105,34 +108,40 @@ class CountTree:
 
 
 class Forest:
-    """Trees over fine points: one for each number of groups, and folded ones for queries with fewer groups."""
+    """A tree over fine points folded to ``TREE`` groups; what it leaves is bounded again by the whole fine points."""
 
     def __init__(self, sizes: np.ndarray, points: list[bytes], percent: int):
-        self.sizes, self.percent, self.trees = sizes, percent, {}
+        self.sizes, self.percent = sizes, percent
         length = np.array([len(x) for x in points])
-        self.rows = {g: np.flatnonzero(length == g) for g in np.unique(length)}
-        self.counts = {g: UPPER[np.frombuffer(b"".join(points[i] for i in at), np.uint8)].reshape(len(at), -1) for g, at in self.rows.items()}
-        self.place = {i: (g, k) for g, at in self.rows.items() for k, i in enumerate(at)}
+        self.length, self.place = length, np.empty(len(points), np.int64)
+        self.codes, coarse = {}, np.empty((len(points), TREE), np.int64)
+        for g in np.unique(length):
+            at = np.flatnonzero(length == g)
+            self.place[at] = np.arange(len(at))
+            self.codes[g] = np.frombuffer(b"".join(points[i] for i in at), np.uint8).reshape(len(at), g)
+            for k in range(0, len(at), 1024):
+                coarse[at[k : k + 1024]] = folded(UPPER[self.codes[g][k : k + 1024]], TREE)
+        self.coarse, self.tree = coarse, CountTree(sizes, coarse, percent)
 
     def from_mean(self) -> np.ndarray:
-        """Positions by their distance to the mean of coarse points."""
-        coarse = np.empty((len(self.sizes), GROUPS), np.int64)
-        for g, at in self.rows.items():
-            coarse[at] = folded(self.counts[g], GROUPS)
-        return np.argsort(np.abs(coarse - coarse.mean(axis=0)).sum(axis=1), kind="stable")
-
-    def query(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions that may link with position ``i``, itself included, and their overlap bounds."""
-        own, k = self.place[i]
-        found, overlaps = [], []
-        for g, at in self.rows.items():
-            least = min(g, own)
-            if (g, least) not in self.trees:
-                self.trees[g, least] = CountTree(self.sizes[at], folded(self.counts[g], least), self.percent)
-            hits, overlap = self.trees[g, least].query(self.sizes[i], folded(self.counts[own][k : k + 1], least)[0])
-            found.append(at[hits])
-            overlaps.append(overlap)
-        return np.concatenate(found), np.concatenate(overlaps)
+        """Positions by their distance to the mean."""
+        return np.argsort(np.abs(self.coarse - self.coarse.mean(axis=0)).sum(axis=1), kind="stable")
+
+    def query(self, i: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions (``among`` those marked) that may link with position ``i``, and their overlap bounds."""
+        hits, _ = self.tree.query(self.sizes[i], self.coarse[i])
+        if among is not None:
+            hits = hits[among[hits]]
+        hits = hits[hits != i]
+        overlap, own = np.empty(len(hits), np.int64), self.length[i]
+        mine = UPPER[self.codes[own][self.place[i]]][None, :]
+        for g in np.unique(self.length[hits]):
+            at, least = np.flatnonzero(self.length[hits] == g), min(g, own)
+            rows, x = self.codes[g][self.place[hits[at]]], folded(mine, least)
+            for k in range(0, len(at), 1024):
+                overlap[at[k : k + 1024]] = np.minimum(folded(UPPER[rows[k : k + 1024]], least), x).sum(axis=1)
+        may = (100 + self.percent) * overlap >= self.percent * (self.sizes[hits] + self.sizes[i])
+        return hits[may], overlap[may]
 
 
 def name_of(elements: np.ndarray) -> int:
@@ -276,7 +285,6 @@ def first_links(percent: int):
                         continue
                     alive[c] = False
                     hits = forest.query(c)[0]
-                    hits = hits[hits != c]
                     again[hits] |= not alive[hits].all() or len(hits) > 1
                     again[c] |= not alive[hits].all()
                     hits = hits[alive[hits]]
@@ -311,9 +319,9 @@ def later_links(percent: int, most: int):
                 forest, left = Forest(size, list(fine[own]), percent), False
                 main = np.argmax(many)
                 for c in np.flatnonzero(of != main):
-                    hits, overlap = forest.query(c)
-                    other = (of[hits] != of[c]) & ((of[hits] == main) | (hits > c))
-                    hits, overlap = hits[other], overlap[other]
+                    other = (of != of[c]) & (of == main)
+                    other[c + 1 :] |= of[c + 1 :] != of[c]
+                    hits, overlap = forest.query(c, other)
                     if not len(hits):
                         continue
                     order = np.lexsort((ids[hits], -overlap / (size[hits] + size[c]), of[hits]))
