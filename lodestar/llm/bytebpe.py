@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import base64
 import re
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
 
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 150_000
 #: Two adjacent white-space characters, or the text of a special token: such a text is encoded as a whole.
 WHOLE = re.compile(r"\s\s|<\|")
 #: The published pre-tokenizing pattern of this vocabulary (fixed value).
@@ -28,9 +29,7 @@ class ByteBpe:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.chunks: dict[str, bytes] = {}
         self.ranks = None
         beside = Path(path).with_suffix(".tiktoken")
@@ -40,6 +39,12 @@ class ByteBpe:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, beside.read_bytes().splitlines())}
             self.ranks = tiktoken.Encoding(beside.stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def fresh(self, chunks: list[str]) -> None:
         """Remember the ids of new chunks."""
         if self.ranks is not None:
@@ -54,6 +59,12 @@ class ByteBpe:
             for x, found in zip(chunks, self.tokenizer.encode_batch_fast([" " + x for x in chunks], add_special_tokens=False), strict=True):
                 self.chunks[x] = np.array(found.ids, dtype="<u4").tobytes()
 
+    def first(self, chunk: str) -> bytes:
+        """The ids of a chunk without a leading space."""
+        if self.ranks is not None and (chunk.isascii() or max(chunk) < LATIN_END):
+            return np.array(self.ranks.encode_ordinary(chunk), dtype="<u4").tobytes()
+        return self.whole(chunk)
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -65,8 +76,8 @@ class ByteBpe:
             return self.whole(text)
         parts = text.split(" ")
         first, rest = parts[0], parts[1:]
-        head = self.whole(first) if first else b""
         chunks = self.chunks
+        head = self.first(first) if first else b""
         try:
             return head + b"".join(map(chunks.__getitem__, rest))
         except KeyError:

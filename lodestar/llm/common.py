@@ -93,6 +93,13 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(mix(run))
 
 
+def slices(batches: Iterable, rows: int = 256) -> Iterable:
+    """Parts of Arrow batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def binaries(column) -> Iterable[bytes | None]:
     """The UTF-8 bytes of an Arrow string column."""
     import pyarrow as pa

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WordHashes, binaries, components, durable, shingles, small, worker_cache
+from lodestar.llm.common import WordHashes, binaries, components, durable, shingles, slices, small, worker_cache
 
 GROUPS = 32
 #: Node ids of at most so many are broadcast (8 bytes each); more are joined by a shuffle.
@@ -154,7 +154,7 @@ def sets_of(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = worker_cache("words", WordHashes)
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingles(hashes.of((text or b"").lower().split()), width) for text in binaries(batch.column("text"))]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             values = pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))
@@ -168,7 +168,7 @@ def signatures_of(width: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = worker_cache("words", WordHashes)
-        for batch in batches:
+        for batch in slices(batches):
             n, node, points, fine, smallest = [], [], [], [], []
             for text in binaries(batch.column("text")):
                 elements = shingles(hashes.of((text or b"").lower().split()), width)

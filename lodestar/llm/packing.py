@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.bytebpe import ByteBpe
-from lodestar.llm.common import durable, worker_cache
+from lodestar.llm.common import durable, slices, worker_cache
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, rank long"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -34,7 +34,7 @@ def pieces_of(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, task = worker_cache(("bpe", path), lambda: ByteBpe(path)), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = memoryview(bpe.encode(text or "") + end)

@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import slices
+
 #: Rows of which the scorer is trained, at most.
 SAMPLE = 8_000
 BUCKETS = 1 << 14
@@ -90,14 +92,14 @@ REPEATED = xxhash.xxh3_64_intdigest(b"repeated") % BUCKETS
 
 def votes_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow function: the vote pattern of each text, -1 for one without words."""
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([pattern(votes(t, w)) if t and (w := t.split()) else -1 for t in texts], pa.int32())], names=["pattern"])
 
 
 def sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow function: the vote pattern and the hashed features of each text with words."""
-    for batch in batches:
+    for batch in slices(batches):
         patterns, buckets, values = [], [], []
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             words = (text or b"").split()
@@ -174,7 +176,7 @@ def score_rows(keys: list[str], posteriors: dict[int, float], weights: np.ndarra
                 return x
 
         known = Weights()
-        for batch in batches:
+        for batch in slices(batches):
             post, score = [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 words = (text or b"").split()

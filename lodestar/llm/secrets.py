@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import worker_cache
+from lodestar.llm.common import slices, worker_cache
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -107,7 +107,7 @@ def _digest(spans: list[tuple[int, int, int]], names: tuple[str, ...]) -> str:
 def scan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow function: what is found in each text."""
     novelty, names = worker_cache("novelty", Novelty), (*KINDS, NOVEL)
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             base, novel = scan(text or "", novelty)
@@ -131,7 +131,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact_rows(mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = worker_cache("novelty", Novelty)
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for text in batch.column("text").to_pylist():
                 if text:
