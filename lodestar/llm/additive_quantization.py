@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import durable
 
 #: Rows that train the codebooks, at most; codebooks, entries of each, and kept partial sums in encoding.
-SAMPLE, BOOKS, ENTRIES, BEAM = 20_000, 8, 256, 8
+SAMPLE, BOOKS, ENTRIES, BEAM = 20_000, 16, 256, 8
 #: Lists of the first book that a query visits, and rows that are scored exactly.
-LISTS, RERANK = 64, 300
+LISTS, RERANK = 160, 500
 #: Rows of a list that one task scores together.
 PART = 8_192
 
