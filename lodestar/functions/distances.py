@@ -46,7 +46,7 @@ def chisquare(a: Column, b: Column) -> Column:
 
 
 def histogram_intersection(a: Column, b: Column) -> Column:
-    return F.lit(1.0) - zip_sum(a, b, F.least)
+    return F.lit(1.0) - zip_sum(a, b, lambda x, y: F.least(x, y))
 
 
 def _log_term(x: Column, y: Column) -> Column:

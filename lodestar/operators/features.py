@@ -22,7 +22,7 @@ def aspect_ratio(image: Column) -> Column:
 
 def pixel_rows(images: DataFrame, key: str, image: str, layers: int) -> DataFrame:
     """(key, p, c0, c1, ...): one row for each pixel."""
-    pixels = F.transform(F.sequence(F.lit(0), F.size(F.col(f"{image}.data")) / F.lit(layers) - 1), lambda p: F.struct(*[F.get(F.col(f"{image}.data"), (p * layers + i).cast("int")).alias(f"c{i}") for i in range(layers)]))
+    pixels = F.transform(F.sequence(F.lit(0), (F.size(F.col(f"{image}.data")) / F.lit(layers)).cast("int") - 1), lambda p: F.struct(*[F.get(F.col(f"{image}.data"), (p * layers + i).cast("int")).alias(f"c{i}") for i in range(layers)]))
     return images.select(key, F.posexplode(pixels).alias("p", "e")).select(key, "p", "e.*")
 
 
