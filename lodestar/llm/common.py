@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting that removes shuffle files at the end of an execution.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Distinct words that a Python worker remembers; beyond it the memory starts afresh.
 CACHE_WORDS = 400_000
 
@@ -33,11 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
-    This cuts the lineage: a lost executor costs the rereading of files, never a recomputation.
+    This cuts the lineage: a lost executor costs the rereading of files, never a recomputation. The
+    shuffle files of the write are removed when it ends, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
