@@ -123,7 +123,13 @@ def scored(dist: DataFrame, scorer: Callable[..., Column] = linear, *parameters,
 
 # Combiners: scores over query objects to one score for each object.
 
-_POS, _NEG = F.col("sign") > 0, F.col("sign") < 0
+
+def _pos() -> Column:
+    return F.col("sign") > 0
+
+
+def _neg() -> Column:
+    return F.col("sign") < 0
 
 
 def _over(condition: Column, value: Column, how=F.sum) -> Column:
@@ -131,8 +137,8 @@ def _over(condition: Column, value: Column, how=F.sum) -> Column:
 
 
 def score_sum(s: DataFrame, positive: float = 1.0, negative: float = 0.8333) -> DataFrame:
-    p = F.coalesce(F.lit(positive) * _over(_POS, F.col("s")) / F.nullif(F.count_if(_POS), F.lit(0)), F.lit(0.0))
-    n = F.coalesce(F.lit(negative) * _over(_NEG, 1 - F.col("s")) / F.nullif(F.count_if(_NEG), F.lit(0)), F.lit(0.0))
+    p = F.coalesce(F.lit(positive) * _over(_pos(), F.col("s")) / F.nullif(F.count_if(_pos()), F.lit(0)), F.lit(0.0))
+    n = F.coalesce(F.lit(negative) * _over(_neg(), 1 - F.col("s")) / F.nullif(F.count_if(_neg()), F.lit(0)), F.lit(0.0))
     return s.groupBy("qid", "idx").agg((p + n).alias("score"))
 
 
@@ -141,11 +147,11 @@ def _ratio(top: Column, below: Column) -> Column:
 
 
 def nearest_quotient(s: DataFrame) -> DataFrame:
-    return s.groupBy("qid", "idx").agg(_ratio(_over(_POS, F.col("s"), F.max), _over(_NEG, F.col("s"), F.max)).alias("score"))
+    return s.groupBy("qid", "idx").agg(_ratio(_over(_pos(), F.col("s"), F.max), _over(_neg(), F.col("s"), F.max)).alias("score"))
 
 
 def sum_quotient(s: DataFrame) -> DataFrame:
-    return s.groupBy("qid", "idx").agg(_ratio(_over(_POS, F.col("s")), _over(_NEG, F.col("s"))).alias("score"))
+    return s.groupBy("qid", "idx").agg(_ratio(_over(_pos(), F.col("s")), _over(_neg(), F.col("s"))).alias("score"))
 
 
 TINY = 2.220446049250313e-16
@@ -153,8 +159,8 @@ TINY = 2.220446049250313e-16
 
 def relevance_score(s: DataFrame) -> DataFrame:
     """1 / (1 + ln(best positive) / ln(best negative)); without negatives these count as 1e-200."""
-    p = F.greatest(F.coalesce(_over(_POS, F.col("s"), F.max), F.lit(0.0)), F.lit(TINY))
-    n = F.when(F.count_if(_NEG) == 0, F.lit(1e-200)).otherwise(F.greatest(_over(_NEG, F.col("s"), F.max), F.lit(TINY)))
+    p = F.greatest(F.coalesce(_over(_pos(), F.col("s"), F.max), F.lit(0.0)), F.lit(TINY))
+    n = F.when(F.count_if(_neg()) == 0, F.lit(1e-200)).otherwise(F.greatest(_over(_neg(), F.col("s"), F.max), F.lit(TINY)))
     quotient = F.ln(p) / F.nullif(F.ln(n), F.lit(0.0))
     return s.groupBy("qid", "idx").agg(F.coalesce(F.lit(1.0) / F.nullif(1 + quotient, F.lit(0.0)), F.lit(0.0)).alias("score"))
 
@@ -162,7 +168,7 @@ def relevance_score(s: DataFrame) -> DataFrame:
 def distance_sum_quotient(s: DataFrame, mode: str = "NEGDENOM") -> DataFrame:
     """p and n sum 1 / (ln s + .0001) over positives and negatives; 1 / (1 + p / n), or with ALLDENOM p / (n + p)."""
     each = F.lit(1.0) / F.nullif(F.ln(F.greatest(F.col("s"), F.lit(1e-300))) + F.lit(0.0001), F.lit(0.0))
-    p, n = F.coalesce(_over(_POS, each), F.lit(0.0)), F.coalesce(_over(_NEG, each), F.lit(0.0))
+    p, n = F.coalesce(_over(_pos(), each), F.lit(0.0)), F.coalesce(_over(_neg(), each), F.lit(0.0))
     value = F.lit(1.0) / F.nullif(1 + p / F.nullif(n, F.lit(0.0)), F.lit(0.0)) if mode == "NEGDENOM" else p / F.nullif(n + p, F.lit(0.0))
     return s.groupBy("qid", "idx").agg(F.coalesce(value, F.lit(0.0)).alias("score"))
 
@@ -192,7 +198,7 @@ def weighted_distance_scores(objects: DataFrame, queries: DataFrame, column: str
     """Unit-weight distance feedback on flat vectors: nearest negative over nearest positive, or sums of them."""
     d = distances(objects, queries, [(column, lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)))])
     how = F.min if mode == "WDRelevanceScore" else F.sum
-    p, n = _over(_POS, F.col("d0"), how), _over(_NEG, F.col("d0"), how)
+    p, n = _over(_pos(), F.col("d0"), how), _over(_neg(), F.col("d0"), how)
     return d.groupBy("qid", "idx").agg(F.coalesce(n, F.lit(1.0)).alias("n"), p.alias("p")).select("qid", "idx", F.coalesce(F.col("n") / F.nullif("p", F.lit(0.0)), F.lit(1e300)).alias("score"))
 
 

@@ -401,11 +401,11 @@ add("gt_overlap", lambda sp, sf: V.truth_by_overlap(table(sp, sf, "part").where(
 # Images and scalar functions.
 
 _PIX = "px AS (SELECT vec_id AS idx, list_transform(e, lambda x: (x-list_min(e))/(list_max(e)-list_min(e))) AS d FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings))"
-_data = F.col("image.data")
+_data = "image.data"
 
 
 def _pixels(f, alias="x"):
-    return lambda sp, sf: objects(sp, sf).select("idx", F.posexplode(f(_data)).alias("p", alias)).select("idx", "p", r6(F.col(alias)).alias(alias))
+    return lambda sp, sf: objects(sp, sf).select("idx", F.posexplode(f(F.col(_data))).alias("p", alias)).select("idx", "p", r6(F.col(alias)).alias(alias))
 
 
 def _pix_sql(expr: str) -> str:
@@ -426,12 +426,12 @@ for _name, _f, _expr in (
     ("histeq", lambda d: P.equalized(d, 16), "len(list_filter(d, lambda x: least(floor(x*16),15)<=least(floor(d[i+1]*16),15)))/64"),
 ):
     add(f"img_{_name}", _pixels(_f), _pix_sql(_expr))
-add("img_meanvar", lambda sp, sf: objects(sp, sf).select("idx", P.mean_variance(_data).alias("s"), P.extrema(_data).alias("e")).select("idx", r6(F.col("s.mean")).alias("mean"), r6(F.col("s.variance")).alias("variance"), F.col("e.at_high").alias("at_high"), F.col("e.at_low").alias("at_low")),
+add("img_meanvar", lambda sp, sf: objects(sp, sf).select("idx", P.mean_variance(F.col(_data)).alias("s"), P.extrema(F.col(_data)).alias("e")).select("idx", r6(F.col("s.mean")).alias("mean"), r6(F.col("s.variance")).alias("variance"), F.col("e.at_high").alias("at_high"), F.col("e.at_low").alias("at_low")),
     f"WITH {_PIX} SELECT idx, {s6('list_avg(d)')} AS mean, {s6('list_sum(list_transform(d,lambda x:x*x))/64-pow(list_avg(d),2)')} AS variance, CAST(list_position(d,list_max(d))-1 AS BIGINT) AS at_high, CAST(list_position(d,list_min(d))-1 AS BIGINT) AS at_low FROM px")
 
 
 def _channels(spark, sf):
-    return objects(spark, sf).select("idx", *[_data[i].alias(c) for i, c in enumerate("rgb")])
+    return objects(spark, sf).select("idx", *[F.col(_data)[i].alias(c) for i, c in enumerate("rgb")])
 
 
 add("img_gray", lambda sp, sf: _channels(sp, sf).select("idx", *[r6(S.gray(F.col("r"), F.col("g"), F.col("b"), m)).alias(m) for m in ("luminance", "mean", "max")]), f"WITH {_PIX} SELECT idx, {s6('0.3*d[1]+0.59*d[2]+0.11*d[3]')} AS luminance, {s6('(d[1]+d[2]+d[3])/3')} AS mean, {s6('greatest(d[1],d[2],d[3])')} AS max FROM px")
@@ -446,7 +446,7 @@ def _hsv(spark, sf):
 _MX, _MN = "greatest(r,g,b)", "least(r,g,b)"
 _SIX = f"CASE WHEN {_MX}=r THEN (((g-b)/nullif({_MX}-{_MN},0))%6+6)%6 WHEN {_MX}=g THEN (b-r)/nullif({_MX}-{_MN},0)+2 ELSE (r-g)/nullif({_MX}-{_MN},0)+4 END"
 add("img_hsv", _hsv, f"WITH {_PIX}, c AS (SELECT idx, d[1] AS r, d[2] AS g, d[3] AS b FROM px), k AS (SELECT idx, coalesce(({_SIX})*pi()/3,0) AS h, coalesce(({_MX}-{_MN})/nullif({_MX},0),0) AS s, {_MX} AS v FROM c) SELECT idx, {s6('h')} AS h, {s6('s')} AS s, {s6('v')} AS v, {s6('s*cos(h)')} AS re, {s6('s*sin(h)')} AS im FROM k")
-add("img_isgray", lambda sp, sf: objects(sp, sf).select("idx", P.is_gray(_data, 1).alias("one"), P.is_gray(_data, 2).alias("two")), f"WITH {_PIX} SELECT idx, true AS one, len(list_filter(range(32), lambda i: d[2*i+1]<>d[2*i+2]))=0 AS two FROM px")
+add("img_isgray", lambda sp, sf: objects(sp, sf).select("idx", P.is_gray(F.col(_data), 1).alias("one"), P.is_gray(F.col(_data), 2).alias("two")), f"WITH {_PIX} SELECT idx, true AS one, len(list_filter(range(32), lambda i: d[2*i+1]<>d[2*i+2]))=0 AS two FROM px")
 add("histo_color", lambda sp, sf: X.color_histogram(objects(sp, sf), "idx", "image", 1, 8), f"WITH {_PIX} SELECT idx, CAST(least(greatest(floor((x-0.0::DOUBLE)/0.125::DOUBLE),0),7) AS INT) AS bin, count(*) AS n FROM (SELECT idx, unnest(d) AS x FROM px) GROUP BY 1,2")
 add("histo_color2d", lambda sp, sf: X.color_histogram(objects(sp, sf), "idx", "image", 2, 4), f"WITH {_PIX} SELECT idx, CAST(least(floor(d[2*i+1]/0.25),3)+4*least(floor(d[2*i+2]/0.25),3) AS INT) AS bin, count(*) AS n FROM px, range(32) r(i) GROUP BY 1,2")
 _LO, _HI = "CASE WHEN x<=0.25 THEN 1.0 WHEN x<0.5 THEN (0.5-x)/0.25 ELSE 0.0 END", "CASE WHEN x>=0.75 THEN 1.0 WHEN x>0.5 THEN (x-0.5)/0.25 ELSE 0.0 END"

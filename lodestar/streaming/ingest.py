@@ -23,11 +23,16 @@ def score_stream(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame],
     return queries.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Watermarks need timestamps with a time zone; those without are read in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def event_histograms(events: DataFrame, keys: Sequence[str] = ("event_type",), every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and value sums by event-time window; events later than the watermark are dropped."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", every), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return _timed(events).withWatermark("ts", late).groupBy(F.window("ts", every), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def sessions(events: DataFrame, key: str = "user_id", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sparse activity histograms by session: events of a user with gaps below ``gap``."""
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return _timed(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
