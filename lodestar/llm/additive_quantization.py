@@ -6,8 +6,9 @@ squares. Beam search encodes: it keeps the best partial sums, not only the greed
 is encoded, with the ratio of its norm to that of its code. A query's inner products with all codebook
 entries are a lookup table; the sum of the looked-up entries times the ratio estimates the score.
 
-Rows are listed by their entry in the first book; hot lists are cut into parts of bounded size by a salt. A query visits
-the lists whose centres are nearest, each part gives its best, and the best of all are scored exactly on the vectors.
+Rows are dealt to parts of about ``PART`` rows by a hash, so equal and near vectors spread evenly, and listed there by their
+entry in the first book. A query goes to every part and scores the rows of the lists whose centres are nearest to it. As parts
+are alike, each gives its share of the best and at least k; the best of all are scored exactly on the vectors.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from lodestar.llm.common import durable
 SAMPLE, BOOKS, ENTRIES, BEAM = 20_000, 16, 256, 8
 #: Lists of the first book that a query visits, and rows that are scored exactly.
 LISTS, RERANK = 160, 500
-#: Rows of a list that one task scores together.
-PART = 8_192
+#: Rows that one task scores together.
+PART = 2_048
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -98,11 +99,11 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.empty((0, 0))
 
 
-CODED = "vec_id long, list int, part int, code binary, ratio double"
+CODED = "vec_id long, part int, code binary, ratio double"
 
 
 def codes_of(books: np.ndarray):
-    """Arrow function: each vector's list, code and norm ratio."""
+    """Arrow function: each vector's code and norm ratio."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,15 +115,15 @@ def codes_of(books: np.ndarray):
             norm = np.linalg.norm(approx, axis=1)
             ratio = np.where(norm > 0, np.linalg.norm(x, axis=1) / np.maximum(norm, 1e-300), 1.0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), pa.array(codes[:, 0].astype(np.int32)), batch.column("salt"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio)],
-                names=["vec_id", "list", "part", "code", "ratio"],
+                [batch.column("vec_id"), batch.column("part"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio)],
+                names=["vec_id", "part", "code", "ratio"],
             )
 
     return run
 
 
 def visits_of(books: np.ndarray, lists: int):
-    """Arrow function: (query_id, v, list) for the lists that each query visits."""
+    """Arrow function: (query_id, v, lists), the first book's entries that each query visits as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,15 +131,14 @@ def visits_of(books: np.ndarray, lists: int):
                 continue
             x = matrix(batch.column("v"))
             take = min(lists, books.shape[1])
-            near = np.argpartition(-(x @ books[0].T), take - 1, axis=1)[:, :take]
-            row = np.repeat(np.arange(len(x)), take)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(near.ravel().astype(np.int32))], names=["query_id", "v", "list"])
+            near = np.argpartition(-(x @ books[0].T), take - 1, axis=1)[:, :take].astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array([r.tobytes() for r in near], pa.binary())], names=["query_id", "v", "lists"])
 
     return run
 
 
 def scored_by(books: np.ndarray, most: int):
-    """Grouped Arrow function over a part of a list: the best ``most`` of it for each visiting query."""
+    """Grouped Arrow function over a part: the best ``most`` of its rows in each query's lists."""
 
     def run(key, queries: pa.Table, rows: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "estimate"]
@@ -149,16 +149,20 @@ def scored_by(books: np.ndarray, most: int):
         ids, ratio = ids[order], rows.column("ratio").to_numpy()[order]
         codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
         q, out = queries.column("query_id").to_numpy(), []
-        x = matrix(queries.column("v").combine_chunks())
+        x, visited = matrix(queries.column("v").combine_chunks()), queries.column("lists").to_pylist()
         for start in range(0, len(q), 128):
+            block = q[start : start + 128]
             table = np.einsum("qd,mkd->mqk", x[start : start + 128], books, optimize=True)
             estimate = sum(table[m][:, codes[:, m]] for m in range(len(books))) * ratio[None, :]
-            estimate[q[start : start + 128, None] == ids[None, :]] = -np.inf
+            near = np.zeros((len(block), books.shape[1]), bool)
+            for i, v in enumerate(visited[start : start + 128]):
+                near[i, np.frombuffer(v, np.uint8)] = True
+            estimate[~near[:, codes[:, 0]] | (block[:, None] == ids[None, :])] = -np.inf
             take = min(most, len(ids))
             best = np.argsort(-estimate, axis=1, kind="stable")[:, :take]
             found = np.take_along_axis(estimate, best, axis=1)
             good = np.isfinite(found)
-            out.append((np.repeat(q[start : start + 128], take)[good.ravel()], ids[best][good], found[good]))
+            out.append((np.repeat(block, take)[good.ravel()], ids[best][good], found[good]))
         return pa.table([pa.array(np.concatenate([x[i] for x in out])) for i in range(3)], names=names)
 
     return run
@@ -189,15 +193,13 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     chosen = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows
     books = train(matrix(chosen.select("v").limit(SAMPLE).toArrow().column(0).combine_chunks()))
 
-    salts = max(1, -(-total // PART))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
+    parts = max(1, -(-total // PART))
+    salted = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
     coded = durable(salted.mapInArrow(codes_of(books), CODED), "ann-codes")
-    # A list of n rows is cut into ceil(n / PART) parts.
-    sizes = coded.groupBy("list").count().select("list", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-    placed = coded.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.col("part"), F.col("parts")))
-    visits = rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).mapInArrow(visits_of(books, lists), "query_id long, v array<double>, list int")
-    visits = visits.join(F.broadcast(sizes), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    found = visits.select("query_id", "v", "list", "part").groupBy("list", "part").cogroup(placed.select("vec_id", "code", "ratio", "list", "part").groupBy("list", "part")).applyInArrow(scored_by(books, rerank), "query_id long, vec_id long, estimate double")
+    visits = rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).mapInArrow(visits_of(books, lists), "query_id long, v array<double>, lists binary")
+    visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    share = -(-3 * rerank // (2 * parts)) + 2 * k
+    found = visits.groupBy("part").cogroup(coded.groupBy("part")).applyInArrow(scored_by(books, share), "query_id long, vec_id long, estimate double")
     best = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "vec_id")
     short = durable(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= rerank).select("query_id", "vec_id"), "ann-short")
     exact = short.join(rows, "vec_id").join(rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")

@@ -4,7 +4,7 @@ Heuristic labellers look at each text and vote low, high or not at all. Only the
 (3 to the power of the number of labellers at most, over all rows) reach the driver, where expectation-maximisation
 estimates how each labeller that votes does so on low and on high texts, and with that the posterior of
 each pattern; not voting says nothing. The posteriors are soft labels of a bounded sample of rows, on which a logistic model over
-hashed words and word shapes is trained. The model scores every row; rows below the threshold are rejected.
+hashed words, word shapes and votes is trained. The model scores every row; rows below the threshold are rejected.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,7 @@ def votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
     upper = size - len(text.translate(None, UPPERS))
     symbols = size - len(text.translate(None, SYMBOLS))
     repeated = sum(map(operator.eq, words, words[1:])) / n
+    runs = [sum(1 for _ in same) for _, same in groupby(words)] if repeated > 0.02 else [1]
     distinct = len(set(words)) / n
     known = sum(map(FUNCTION_WORDS.__contains__, words)) / n
     stops = text.count(b".") / n
@@ -61,14 +63,16 @@ def votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
         _between(len(RUNS.findall(text)) / n, 0.01, 0.15),
         _between(words.count(b"|") / n, 0.0, 0.1),
         _between(repeated, 0.03, 0.2),
+        _between(max(runs), 2, 5),
+        _between(sum(x for x in runs if x > 2) / n, 0.01, 0.2),
         NONE if n < 20 else LOW if distinct < 0.15 else HIGH if distinct > 0.3 else NONE,
-        NONE if n < 10 else HIGH if known >= 0.08 else LOW if known < 0.02 else NONE,
-        NONE if n < 10 else HIGH if 0.01 <= stops <= 0.5 else LOW,
+        NONE if n < 30 else HIGH if known >= 0.08 else LOW if known < 0.02 else NONE,
+        NONE if n < 30 else HIGH if 0.01 <= stops <= 0.5 else LOW,
         HIGH if 3 <= mean <= 12 else LOW if mean > 25 else NONE,
     )
 
 
-LABELLERS = 9
+LABELLERS = 11
 
 
 def pattern(v: tuple[int, ...]) -> int:
@@ -87,6 +91,11 @@ def word_buckets(word: bytes) -> tuple[int, int, int]:
     return tuple(xxhash.xxh3_64_intdigest(x) % BUCKETS for x in (b"w" + word.lower(), b"s" + shape, b"e" + shape[-2:]))
 
 
+def vote_buckets(v: tuple[int, ...]) -> list[int]:
+    """One bucket for each labeller that votes."""
+    return [xxhash.xxh3_64_intdigest(b"v%d:%d" % (i, x)) % BUCKETS for i, x in enumerate(v) if x != NONE]
+
+
 REPEATED = xxhash.xxh3_64_intdigest(b"repeated") % BUCKETS
 
 
@@ -109,7 +118,10 @@ def sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for word, n in Counter(words).items():
                 for b in word_buckets(word):
                     total[b] += n
-            patterns.append(pattern(votes(text, words)))
+            v = votes(text, words)
+            for b in vote_buckets(v):
+                total[b] += len(words)
+            patterns.append(pattern(v))
             buckets.append(np.fromiter(total.keys(), np.int32, len(total)).tobytes())
             values.append((np.fromiter(total.values(), np.float32, len(total)) / np.float32(len(words))).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.int32()), pa.array(buckets, pa.binary()), pa.array(values, pa.binary())], names=["pattern", "buckets", "weights"])
@@ -184,8 +196,9 @@ def score_rows(keys: list[str], posteriors: dict[int, float], weights: np.ndarra
                     post.append(0.0)
                     score.append(0.0)
                     continue
-                post.append(posteriors.get(pattern(votes(text, words)), 0.5))
-                z = bias + (sum(map(known.__getitem__, words)) + weights[REPEATED] * sum(map(operator.eq, words, words[1:]))) / len(words)
+                v = votes(text, words)
+                post.append(posteriors.get(pattern(v), 0.5))
+                z = bias + weights[vote_buckets(v)].sum() + (sum(map(known.__getitem__, words)) + weights[REPEATED] * sum(map(operator.eq, words, words[1:]))) / len(words)
                 score.append(1 / (1 + float(np.exp(-np.clip(z, -50, 50)))))
             keep = pa.array([x >= threshold for x in score], pa.bool_())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(post, pa.float64()), pa.array(score, pa.float64()), keep], names=[*keys, "weak_posterior", "score", "keep"])
