@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = durable(jaccard_components(docs), "pipeline-components")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         # Rows that share an id: one stays, the least by its text.
-        first = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*[c for c in ("text", *docs.columns) if c in docs.columns])).alias("row"))
+        first = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("row"))
         docs = first.select(*[F.col(f"row.{c}").alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
     dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(small(dropped, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
