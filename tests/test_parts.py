@@ -162,7 +162,9 @@ def test_streams(spark, sf, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/objects").count() == 20
     G.score_stream(stream.select("idx"), lambda b: b.join(source, "idx").select("idx", "class"), f"{tmp_path}/out", f"{tmp_path}/c2").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 20
-    events = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/events.parquet")
+    table = spark.read.parquet(f"{sf}/events.parquet")
+    table.write.parquet(f"{tmp_path}/events")
+    events = spark.readStream.schema(table.schema).parquet(f"{tmp_path}/events")
     q = G.event_histograms(events).writeStream.format("memory").queryName("histograms").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM histograms").head()[0] == 1000
