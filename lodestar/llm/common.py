@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import uuid
@@ -19,16 +21,23 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 CACHE_WORDS = 400_000
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares for intermediate tables.
 
     It is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-    temporary folder is made and set.
+    temporary folder is made for the application and removed when the driver ends.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            path = tempfile.mkdtemp(prefix="lodestar-")
+            atexit.register(shutil.rmtree, path, ignore_errors=True)
+            _own_dirs[app] = f"file://{path}"
+        found = _own_dirs[app]
     return found.rstrip("/")
 
 

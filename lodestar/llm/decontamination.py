@@ -79,3 +79,14 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     found = found.withColumn("containment", F.col("n_found") / F.col("n_item")).where(F.col("containment") >= threshold - 1e-9)
     best = F.max(F.struct("containment", "n_found", "n_item")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_item", "best.n_found", "best.containment")
+
+
+def oracle(docs: str = "documents", items: str = "benchmark", width: int = 5, threshold: float = 0.8) -> str:
+    """The same in DuckDB's SQL, by the join of all shingles."""
+    words = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
+    grams = "list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))"
+    return f"""WITH i AS (SELECT item_id, w, least(len(w), {width}) AS k FROM (SELECT item_id, {words} AS w FROM {items}) WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, k, unnest({grams}) AS g FROM i), n AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1),
+d AS (SELECT DISTINCT doc_id, k, unnest({grams}) AS g FROM (SELECT doc_id, {words} AS w FROM {docs}), (SELECT DISTINCT k FROM i) WHERE len(w) >= k),
+f AS (SELECT doc_id, q.item_id, count(*) AS found FROM d JOIN q ON d.k = q.k AND d.g = q.g GROUP BY 1, 2)
+SELECT doc_id, f.item_id AS item_id, n AS n_item, found AS n_found, found / n AS containment FROM f JOIN n ON n.item_id = f.item_id WHERE found / n >= {threshold} - 1e-9"""

@@ -408,3 +408,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = lowest.join(comps, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(placed, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def oracle(table: str = "documents", width: int = 4, percent: int = 85) -> str:
+    """The same in DuckDB's SQL, by the inverted index and recursive reachability; for small tables with distinct ids."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table}),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < {width} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i:i+{width - 1}], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+r AS (SELECT doc_id AS d, doc_id AS c FROM {table} UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.d)
+SELECT r.d AS doc_id, any_value(coalesce(n.n, 0)) AS n_shingles, min(r.c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.d GROUP BY 1"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import licenses
+from lodestar.llm import decontamination, jaccard_join, licenses
 from lodestar.llm.additive_quantization import neighbours
 from lodestar.llm.class_lm import lm_scores
 from lodestar.llm.decontamination import contained_items
@@ -82,4 +82,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op8_licenses": licenses.oracle()}
+    return {"op2_decontamination": decontamination.oracle(), "op4_jaccard_join": jaccard_join.oracle(), "op8_licenses": licenses.oracle()}

@@ -318,3 +318,17 @@ def test_components(spark):
             parent[y] = x
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent}
+
+
+@pytest.mark.parametrize("name", sorted(G.oracle_sql()))
+def test_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = c.execute(G.oracle_sql()[name]).df()
+    got = G.queries()[name](spark, SF).toPandas()
+    columns = sorted(want.columns)
+    a, b = (x[columns].sort_values(columns).reset_index(drop=True).astype(str) for x in (got, want))
+    pd.testing.assert_frame_equal(a, b)
