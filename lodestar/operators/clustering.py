@@ -200,3 +200,96 @@ def fit_linear_svm(rows: DataFrame, column: str, label: Column, iterations: int
 
     fitted = LinearSVC(maxIter=iterations, regParam=regularization).fit(rows.select(array_to_vector(column).alias("features"), label.cast("double").alias("label")))
     return np.array(fitted.coefficients), float(fitted.intercept)
+
+
+# Per-object models and classifiers.
+
+
+def signatures(local: DataFrame, key: str, column: str, splits: int = 2, iterations: int = 5) -> DataFrame:
+    """(key, cluster, count, mean, sigma): the local vectors of each object clustered on their own, empty clusters left out.
+
+    An object's local features are few; objects run in parallel.
+    """
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf[column].tolist(), float)
+        means = x.mean(axis=0, keepdims=True)
+        for _ in range(splits):
+            step = 0.1 * x.std(axis=0) + 1e-4
+            means = np.concatenate([means + step, means - step])
+            for _ in range(iterations):
+                at = ((x[:, None] - means[None]) ** 2).sum(axis=2).argmin(axis=1)
+                means = np.array([x[at == c].mean(axis=0) for c in np.unique(at)])
+        at = ((x[:, None] - means[None]) ** 2).sum(axis=2).argmin(axis=1)
+        rows = [(pdf[key].iloc[0], c, int((at == c).sum()), x[at == c].mean(axis=0).tolist(), np.maximum(x[at == c].var(axis=0), SIGMA_FLOOR).tolist()) for c in np.unique(at)]
+        return pd.DataFrame(rows, columns=[key, "cluster", "count", "mean", "sigma"])
+
+    kind = local.schema[key].dataType.simpleString()
+    return local.select(key, column).groupBy(key).applyInPandas(run, f"`{key}` {kind}, cluster int, count long, mean array<double>, sigma array<double>")
+
+
+def position_clusters(points: DataFrame, key: str, splits: int = 2, iterations: int = 5, floor: float = 1e-2) -> DataFrame:
+    """(key, cluster, count, mean, covariance) of each object's (x, y): full-covariance clusters split along their main axis, eigenvalues not below ``floor``."""
+    import pandas as pd
+
+    def fit(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cov = np.cov(p.T, bias=True) if len(p) > 1 else np.zeros((2, 2))
+        values, vectors = np.linalg.eigh(cov)
+        return p.mean(axis=0), vectors @ np.diag(np.maximum(values, floor)) @ vectors.T
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf[["x", "y"]].to_numpy(float)
+        models, at = [fit(p)], np.zeros(len(p), int)
+        for _ in range(splits):
+            halves = []
+            for m, c in models:
+                values, vectors = np.linalg.eigh(c)
+                step = vectors[:, -1] * np.sqrt(values[-1]) / 2
+                halves += [(m + step, c), (m - step, c)]
+            models = halves
+            for _ in range(iterations):
+                cost = np.stack([np.einsum("ni,ij,nj->n", p - m, np.linalg.inv(c), p - m) + np.log(np.linalg.det(c)) for m, c in models], axis=1)
+                at = cost.argmin(axis=1)
+                models = [fit(p[at == i]) for i in np.unique(at)]
+                at = np.unique(at, return_inverse=True)[1]
+        rows = [(pdf[key].iloc[0], i, int((at == i).sum()), m.tolist(), c.ravel().tolist()) for i, (m, c) in enumerate(models)]
+        return pd.DataFrame(rows, columns=[key, "cluster", "count", "mean", "covariance"])
+
+    kind = points.schema[key].dataType.simpleString()
+    return points.select(key, "x", "y").groupBy(key).applyInPandas(run, f"`{key}` {kind}, cluster int, count long, mean array<double>, covariance array<double>")
+
+
+def class_gaussians(rows: DataFrame, column: str, label: str) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes, their priors, means and diagonal variances, from one aggregate by class and dimension."""
+    stats = rows.select(F.col(label).alias("cluster"), column)
+    found = reestimate(stats, column).collect()
+    classes = sorted({r["cluster"] for r in found})
+    dims = 1 + max(r["d"] for r in found)
+    mean, var, n = np.zeros((len(classes), dims)), np.zeros((len(classes), dims)), np.zeros(len(classes))
+    for r in found:
+        i = classes.index(r["cluster"])
+        mean[i, r["d"]], var[i, r["d"]], n[i] = r["mean"], max(r["variance"], SIGMA_FLOOR), r["n"]
+    return classes, n / n.sum(), mean, var
+
+
+def classify_gaussian(rows: DataFrame, column: str, model: tuple[list, np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """``rows`` with ``prediction``, the class of the largest prior times density."""
+    classes, prior, mean, var = model
+    cost = F.zip_with(squared_distances(F.col(column), mean, var), F.array(*[F.lit(float(-2 * np.log(p))) for p in prior]), lambda d, p: d + p)
+    return rows.withColumn("prediction", F.get(F.array(*map(F.lit, classes)), argmin(cost)))
+
+
+def split(rows: DataFrame, key: str, share: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Two disjoint parts by a hash of the key; the same rows always fall in the same part."""
+    at = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 20)) < int(share * (1 << 20))
+    return rows.where(at), rows.where(~at)
+
+
+def reconstruction_map(image: np.ndarray, mean: np.ndarray, axes: np.ndarray, height: int, width: int) -> np.ndarray:
+    """For every position the error of its patch after projection on ``axes``, scaled to [0, 1]: low where the patch is like the training set."""
+    windows = np.lib.stride_tricks.sliding_window_view(image, (height, width))
+    flat = windows.reshape(*windows.shape[:2], -1) - mean
+    error = (flat**2).sum(axis=2) - ((flat @ axes.T) ** 2).sum(axis=2)
+    low, high = error.min(), error.max()
+    return (error - low) / (high - low) if high > low else np.zeros_like(error)

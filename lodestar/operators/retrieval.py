@@ -202,6 +202,22 @@ def weighted_distance_scores(objects: DataFrame, queries: DataFrame, column: str
     return d.groupBy("qid", "idx").agg(F.coalesce(n, F.lit(1.0)).alias("n"), p.alias("p")).select("qid", "idx", F.coalesce(F.col("n") / F.nullif("p", F.lit(0.0)), F.lit(1e300)).alias("score"))
 
 
+def learned_distance_scores(objects: DataFrame, queries: DataFrame, column: str, positive: Sequence[float], negative: Sequence[float] | None = None) -> DataFrame:
+    """Nearest negative over nearest positive by squared differences with learned weights, separate ones for the two signs if given."""
+    def weighted(w: Sequence[float]) -> Callable[[Column, Column], Column]:
+        return lambda a, b: F.aggregate(F.zip_with(F.array(*map(F.lit, w)), F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), lambda x, d: x * d), F.lit(0.0), lambda s, x: s + x)
+
+    d = distances(objects, queries, [(column, weighted(positive)), (column, weighted(negative or positive))])
+    p, n = _over(_pos(), F.col("d0"), F.min), _over(_neg(), F.col("d1"), F.min)
+    return d.groupBy("qid", "idx").agg((F.coalesce(n, F.lit(1.0)) / F.coalesce(F.nullif(p, F.lit(0.0)), F.lit(1e-12))).alias("score"))
+
+
+def weighted_query_scores(s: DataFrame, weights: dict[int, float]) -> DataFrame:
+    """Sum of scores, positives s and negatives 1 - s, with one weight for each query object."""
+    w = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("q").cast("int")), F.lit(1.0))
+    return s.groupBy("qid", "idx").agg(F.sum(w * F.when(F.col("sign") > 0, F.col("s")).otherwise(1 - F.col("s"))).alias("score"))
+
+
 # Ranking.
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import distances as D
 from lodestar.functions import pixels as P
 from lodestar.functions import scalar as S
+from lodestar.functions import stemming
 from lodestar.functions.arrays import drop_range, subtract, total, zero_dimension
 from lodestar.operators import clustering as C
 from lodestar.operators import evaluate as V
@@ -605,3 +606,51 @@ def _svm(spark, sf):
 
 add("svm", _svm)
 add("retrieve_random", lambda sp, sf: objects(sp, sf).orderBy(F.rand(7)).select("idx", "name").limit(10))
+
+
+def _learned(separate):
+    def run(spark, sf):
+        o, asked = objects(spark, sf), examples(spark).where("qid = 2")
+        pos, neg = RR.examples(o, asked, "v")
+        w, n = RR.tune_class_weights(pos, neg) if separate else (RR.tune_dimension_weights(pos, neg), None)
+        return R.top(R.learned_distance_scores(o, asked, "v", w.tolist(), None if n is None else n.tolist()), 20)
+
+    return run
+
+
+add("comb_wd", _learned(False))
+add("comb_cdwd", _learned(True))
+
+
+def _query_weighted(spark, sf):
+    asked = examples(spark).where("qid = 2")
+    o = objects(spark, sf)
+    rows = o.join(F.broadcast(asked), "idx").orderBy("idx").select("idx", "sign", "v").collect()
+    x, signs = np.array([r["v"] for r in rows]), np.array([r["sign"] for r in rows])
+    w = RR.tune_query_weights(RR.pairwise(x), signs)
+    s = R.scored(R.normalize(R.distances(o, asked, FEATURES)), R.linear, WEIGHTS)
+    return R.top(R.weighted_query_scores(s, {int(r["idx"]): float(v) for r, v in zip(rows, w, strict=True)}), 20)
+
+
+add("comb_queryweighting", _query_weighted)
+
+
+def _svm_feedback(spark, sf):
+    o, asked = objects(spark, sf), examples(spark).where("qid = 2")
+    w, b = C.fit_linear_svm(o.join(F.broadcast(asked), "idx"), "v", (F.col("sign") > 0).cast("double"), 20)
+    return R.top(o.select(F.lit(2).alias("qid"), "idx", R.svm_score([F.col("v")[i] for i in range(64)], w.tolist(), b).alias("score")), 20)
+
+
+add("comb_svm", _svm_feedback)
+add("lf_signature", lambda sp, sf: C.signatures(local_rows(objects(sp, sf)), "idx", "v"))
+add("position_clusters", lambda sp, sf: C.position_clusters(objects(sp, sf).where("idx < 50").select("idx", F.explode("lf").alias("l")).select("idx", F.col("l")[0].alias("x"), F.col("l")[1].alias("y")), "idx", 1))
+
+
+def _gaussian_classes(spark, sf):
+    o = objects(spark, sf)
+    return V.confusion(C.classify_gaussian(o, "v", C.class_gaussians(o, "v", "class")).select(F.col("class").alias("truth"), "prediction"))
+
+
+add("gaussian_classifier", _gaussian_classes)
+add("gt_stemmed_overlap", lambda sp, sf: V.truth_by_overlap(table(sp, sf, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("idx"), stemming.stems(F.split("p_name", " ")).alias("w")), "w"))
+add("train_test_split", lambda sp, sf: C.split(objects(sp, sf), "idx", 0.7)[0].select("idx", "class"))

@@ -168,3 +168,30 @@ def test_streams(spark, sf, tmp_path):
     q = G.event_histograms(events).writeStream.format("memory").queryName("histograms").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM histograms").head()[0] == 1000
+
+
+def test_porter_stems():
+    from lodestar.functions.stemming import stem
+
+    known = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "filing": "file",
+             "happy": "happi", "relational": "relat", "vietnamization": "vietnam", "triplicate": "triplic", "hopefulness": "hope", "adjustment": "adjust", "adoption": "adopt", "probate": "probat", "controlling": "control", "rate": "rate"}
+    assert {w: stem(w) for w in known} == known
+
+
+def test_classifiers_and_splits(spark):
+    rows = [(i, i % 2, [float(i % 2) * 4 + 0.01 * i, 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "idx long, class int, v array<double>")
+    out = C.classify_gaussian(df, "v", C.class_gaussians(df, "v", "class"))
+    assert out.where("prediction <> class").count() == 0
+    a, b = C.split(df, "idx", 0.5)
+    assert a.count() + b.count() == 60 and a.join(b, "idx").count() == 0
+    points = spark.createDataFrame([(0, float(x), 0.1 * x) for x in (0, 1, 2, 50, 51, 52)], "idx long, x double, y double")
+    assert sorted(r["count"] for r in C.position_clusters(points, "idx", 1).collect()) == [3, 3]
+    assert sum(r["count"] for r in C.signatures(df, "class", "v").collect()) == 60
+
+
+def test_reconstruction_map():
+    image = rng.random((12, 12))
+    image[4:7, 5:8] = 0.5
+    m = C.reconstruction_map(image, np.full(9, 0.5), np.zeros((0, 9)), 3, 3)
+    assert m[4, 5] == 0 and m.max() == 1
