@@ -96,3 +96,8 @@ def gray(r: Column, g: Column, b: Column, mode: str = "luminance") -> Column:
 def relational(x: Column, y: Column, c: float) -> Column:
     """Ramp from 1 to 0 over differences from -c to c."""
     return F.when(x - y <= -c, F.lit(1.0)).when(x - y >= c, F.lit(0.0)).otherwise((F.lit(c) - (x - y)) / F.lit(2 * c))
+
+
+def inside(box: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies in an annotated box (xmin, ymin, xmax, ymax), borders included."""
+    return (x >= box["xmin"]) & (x <= box["xmax"]) & (y >= box["ymin"]) & (y <= box["ymax"])

@@ -67,6 +67,27 @@ def invariant(images: DataFrame, key: str, image: str, kernel: str = "monomial")
     return on_images(images, key, image, lambda x: imaging.invariant(x, kernel=kernel), "invariant")
 
 
+def tamura_pairs(images: DataFrame, key: str, image: str, sizes: list[float], steps: int = 4) -> DataFrame:
+    """(key, pairs): the histogram of the image, then for each centre window its own and the background's, in one flat array."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        complete, windows = imaging.histogram_pairs(x, sizes, lambda w: imaging.tamura(w, steps))
+        return np.concatenate([complete, *[part for w in windows for part in (w, complete - w)]])
+
+    return on_images(images, key, image, run, "pairs")
+
+
+def sparse_gabor(images: DataFrame, key: str, image: str, phases: int = 2, frequencies: int = 2, steps: int = 4) -> DataFrame:
+    """(key, bin, n): Gabor means and deviations counted by the string of their positions between the table's bounds."""
+    vectors = gabor(images, key, image, phases, frequencies)
+    return sparse_histogram(vectors, [key], "gabor", sparse_bounds(vectors, "gabor"), steps)
+
+
+def kernel_histogram(images: DataFrame, key: str, image: str, points: list[tuple[float, float]], rotations: int = 36) -> DataFrame:
+    """Invariant histogram of the geometric mean of pixel values at one, two or three points."""
+    return on_images(images, key, image, lambda x: imaging.invariant(x, points, rotations), "invariant")
+
+
 def local_features(images: DataFrame, key: str, image: str, method: str = "grid", n: int = 3, radius: int = 2, descriptor: str = "patch") -> DataFrame:
     """(key, x, y, s, v): one row for each local feature; points of a grid, at random (seed 0) or of difference-of-Gaussian extrema."""
 

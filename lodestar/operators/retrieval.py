@@ -316,3 +316,27 @@ def file_distance(dist: DataFrame, weights: Sequence[float]) -> DataFrame:
     """-ln of the linear score of a stored distance row: (qid, q, idx, d0)."""
     names = distance_columns(dist)
     return dist.select("qid", "q", "idx", (-F.ln(F.greatest(linear([F.col(c) for c in names], weights), F.lit(1e-300)))).alias("d0"))
+
+
+def cached_distances(wanted: DataFrame, cache: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Distances (q, idx, d) of the wanted pairs (q, idx): those in ``cache`` and, for the others, what ``compute`` gives; also the new rows, to append."""
+    known = wanted.join(cache, ["q", "idx"]).select("q", "idx", "d")
+    new = compute(wanted.join(cache, ["q", "idx"], "left_anti")).select("q", "idx", "d")
+    return known.unionByName(new), new
+
+
+def without_rows(objects: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Objects without those named, numbered anew in the old order.
+
+    Numbers are a count by partition plus the place within it, so no task sees all rows.
+    """
+    kept = objects.where(~F.col("name").isin(list(names))).repartitionByRange("idx").sortWithinPartitions("idx").withColumn("_at", F.spark_partition_id())
+    kept = kept.withColumn("_n", F.monotonically_increasing_id() - F.shiftleft(F.col("_at").cast("long"), 33))
+    sizes = sorted((r["_at"], r["count"]) for r in kept.groupBy("_at").count().collect())
+    starts, total = {}, 0
+    for at, n in sizes:
+        starts[at], total = total, total + n
+    if not starts:
+        return objects.limit(0)
+    start = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("_at")).cast("long")
+    return kept.withColumn("idx", start + F.col("_n")).drop("_at", "_n")

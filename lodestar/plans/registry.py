@@ -654,3 +654,24 @@ def _gaussian_classes(spark, sf):
 add("gaussian_classifier", _gaussian_classes)
 add("gt_stemmed_overlap", lambda sp, sf: V.truth_by_overlap(table(sp, sf, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("idx"), stemming.stems(F.split("p_name", " ")).alias("w")), "w"))
 add("train_test_split", lambda sp, sf: C.split(objects(sp, sf), "idx", 0.7)[0].select("idx", "class"))
+add("tamura_pairs", lambda sp, sf: X.tamura_pairs(objects(sp, sf).where("idx < 50"), "idx", "image", [0.5, 1.0]))
+add("sparse_gabor", lambda sp, sf: X.sparse_gabor(objects(sp, sf), "idx", "image"))
+for _n, _points in ((1, [(4.0, 0.0)]), (3, [(4.0, 0.0), (0.0, 8.0), (2.0, 2.0)])):
+    add(f"invariant_monomial{_n}", lambda sp, sf, p=_points: X.kernel_histogram(objects(sp, sf).where("idx < 30"), "idx", "image", p))
+add("remove_rows", lambda sp, sf: R.without_rows(objects(sp, sf), ["o3", "o10"]).select("idx", "name"), "SELECT row_number() OVER (ORDER BY vec_id)-1 AS idx, 'o'||vec_id AS name FROM embeddings WHERE vec_id NOT IN (3,10)")
+add("box_predicate", lambda sp, sf: objects(sp, sf).select("idx", S.inside(F.struct(F.lit(-0.1).alias("xmin"), F.lit(-0.1).alias("ymin"), F.lit(0.1).alias("xmax"), F.lit(0.1).alias("ymax")), F.col("v")[0], F.col("v")[1]).alias("inside")), f"WITH {OBJ} SELECT idx, v[1]>=-0.1 AND v[1]<=0.1 AND v[2]>=-0.1 AND v[2]<=0.1 AS inside FROM obj")
+
+
+def _cached(spark, sf):
+    o = objects(spark, sf)
+
+    def compute(pairs):
+        a, b = o.select("idx", F.col("v").alias("a")), o.select(F.col("idx").alias("q"), F.col("v").alias("b"))
+        return pairs.join(a, "idx").join(F.broadcast(b.where("q < 2")), "q").select("q", "idx", D.euclidean(F.col("a"), F.col("b")).alias("d"))
+
+    wanted = o.select("idx").crossJoin(F.broadcast(spark.createDataFrame([(0,), (1,)], "q long")))
+    cache = compute(wanted.where("idx % 2 = 0"))
+    return R.cached_distances(wanted, cache, compute)[0].select("q", "idx", r6(F.col("d")).alias("dist"))
+
+
+add("cached_distances", _cached, f"WITH {OBJ} SELECT q.idx AS q, o.idx AS idx, {s6(zs(EU, 'o.v', 'q.v'))} AS dist FROM obj o, obj q WHERE q.idx IN (0, 1)")
