@@ -269,7 +269,8 @@ def fine_pairs(percent: int):
 def first_links(percent: int):
     """Arrow function over (h, node, n, fine) sorted by h: kind 0, pairs (a, b) to verify; kind 1, (h, node) of groups that a later round looks at again.
 
-    Each node in order of its distance to the mean takes those that may link with it out of the group.
+    Each node in order of its distance to the mean takes those that may link with it out of the group. A group is
+    looked at again unless every pair that may link is among those emitted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +280,7 @@ def first_links(percent: int):
                 _, own = np.unique(node[s:e], return_index=True)
                 own = own + s
                 ids, forest = node[own], Forest(n[own], list(fine[own]), percent)
-                alive, again = np.ones(len(own), bool), np.zeros(len(own), bool)
+                alive, again, taken = np.ones(len(own), bool), np.zeros(len(own), bool), np.zeros(len(own), bool)
                 for c in forest.from_mean():
                     if not alive[c]:
                         continue
@@ -291,6 +292,16 @@ def first_links(percent: int):
                     a.append(np.minimum(ids[hits], ids[c]))
                     b.append(np.maximum(ids[hits], ids[c]))
                     alive[hits] = False
+                    taken[hits] = True
+                if not again.any() and taken.sum() > 1:
+                    # No taker had two hits or an earlier one, so only nodes that different takers took are left to compare.
+                    more = [(x, y) for x in np.flatnonzero(taken) for y in forest.query(x, taken)[0] if x < y]
+                    if len(more) > len(own):
+                        again[:] = True
+                    elif more:
+                        x, y = np.array(more).T
+                        a.append(np.minimum(ids[x], ids[y]))
+                        b.append(np.maximum(ids[x], ids[y]))
                 if again.any():
                     gh.append(np.full(len(own), h[s]))
                     gn.append(ids)

@@ -84,6 +84,29 @@ def test_jaccard_of_planted_groups(spark):
     assert got == brute_components(texts)
 
 
+def test_jaccard_of_a_chain_between_takers(spark):
+    """c-x-y-d: c takes x, d takes y, and only the pair x-y joins the two; every small hash is shared by all texts."""
+    from lodestar.llm.common import WordHashes, shingles
+
+    hashes, rng, at = WordHashes(), random.Random(11), collections.defaultdict(list)
+    known = sorted((int(shingles(hashes.of([w.encode()]), 1)[0]), w) for w in {"".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(20_000)})
+    shared = [w for _, w in known[:8]]  # those of the smallest hashes: all texts meet by these and by no others
+    for h, w in known[100:]:
+        at[h % 256].append(w)
+    word = lambda r: at[r][0]
+    chain = [[*shared, *map(word, range(3 * k, 3 * k + 37))] for k in range(4)]
+    ends = [*map(word, range(3)), *map(word, range(43, 46))]  # words of c and d only, which draw the mean to these two
+    pairs = []
+    for k in range(5):
+        own = list(map(word, range(64 + 36 * k, 64 + 36 * k + 30)))
+        pairs += [[*shared, *ends, *own], [*shared, *ends, *own[1:]]]
+    texts = {i: " ".join(w) for i, w in enumerate([*chain, *pairs])}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), width=1).collect()}
+    want = brute_components(texts, 1)
+    assert {want[i][1] for i in range(4)} == {0}
+    assert got == want
+
+
 def test_bounds_are_never_below_the_overlap():
     rng = np.random.default_rng(0)
     assert len(UPPER) == 256
