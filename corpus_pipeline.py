@@ -15,6 +15,8 @@ from lodestar.llm.secrets import redact_secrets
 
 #: Ids of dropped documents up to which they are broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Near duplicates share so many percent of their shingles of so many words; op4_jaccard_join has a rule of its own.
+WIDTH, PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: that with the smallest id. Rows with a null id stay."""
-    found = durable(jaccard_components(docs), "pipeline-components")
+    found = durable(jaccard_components(docs, width=WIDTH, percent=PERCENT), "pipeline-components")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         # Rows that share an id: one stays, the least by its text.
         first = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("row"))

@@ -47,3 +47,12 @@ def test_stages_on_odd_rows(spark, odd):
         stage(spark, odd.limit(0), SF).count()
     one = P.near_duplicates(spark, odd, SF).where("doc_id is not null").groupBy("doc_id").count().where("count > 1").count()
     assert one == 0
+
+
+def test_near_duplicates_by_five_words(spark):
+    """A changed word in 50: 41 of 51 shingles of five words are shared (80 %), 43 of 51 of four words (84 %)."""
+    words = [f"word{i}" for i in range(50)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:25], "other", *words[26:]])), (3, " ".join([*words[:20], "one", *words[21:30], "two", *words[31:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in P.near_duplicates(spark, docs, SF).collect()} == {1, 3}
+    assert {r["doc_id"]: r["component_id"] for r in P.jaccard_components(docs).collect()} == {1: 1, 2: 2, 3: 3}
