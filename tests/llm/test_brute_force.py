@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from lodestar.llm import registry as G
@@ -166,6 +167,32 @@ def test_secrets(spark):
     assert seen
 
 
+def test_secrets_of_many_lines_and_of_letters():
+    from lodestar.llm.secrets import Novelty, redact_rows, scan
+
+    rng, novelty = random.Random(8), Novelty()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    base64 = letters + letters.upper() + "0123456789+/"
+    strange = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    for gap in ("\n", "\r\n", "\\n"):
+        lines = [*[strange(64, base64) for _ in range(25)], "Qk8="]
+        text = gap.join(["a key:", "-----BEGIN RSA PRIVATE KEY-----", *lines, "-----END RSA PRIVATE KEY-----", "and more text of no concern to anyone"])
+        base, novel = scan(text, novelty)
+        hidden = "".join("#" if any(s <= i < e for s, e in novel) or any(s <= i < e for s, _, e in base) else c for i, c in enumerate(text))
+        assert not any(x in hidden for x in lines) and "a key:" in hidden and "and more text of no concern to anyone" in hidden
+        assert all(not text[s:e].strip(base64 + "=") for s, e in novel)
+    chain = [strange(64, base64) for _ in range(6)]
+    assert len(scan("private key " + "\n".join(chain), novelty)[1]) == 6  # a block without an end line
+    for secret in (strange(24, letters), strange(40, letters.upper()), strange(32, letters + letters.upper())):
+        for word in ("bearer", "passphrase"):
+            text = f"the {word} {secret} was sent, then more text"
+            assert scan(text, novelty) == ([], [(text.index(secret), text.index(secret) + len(secret))])
+    for plain in ("internationalization", "straightforwardness", "Wahrscheinlichkeit", "responsabilidades", "implementation_details", "createElementFactory", "================"):
+        assert scan(f"the credential {plain} was sent, then more text", novelty) == ([], [])
+    batch = pa.RecordBatch.from_pydict({"text": [f"bearer {'qzxjkvwpbfgh'}qxzvkjwq is here"]})
+    assert next(redact_rows("[SECRET]")(iter([batch]))).column(0).to_pylist() == ["bearer [SECRET] is here"]
+
+
 def test_novelty_finds_random_strings_only():
     from lodestar.llm.secrets import Novelty, base_spans, novel_spans
 
