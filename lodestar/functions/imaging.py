@@ -422,7 +422,8 @@ def earth_mover(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray, em
         return empty
     supply, demand = wa / wa.sum(), wb / wb.sum()
     cost = ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
-    n, m = cost.shape
+    # Shorter by rounding alone is not shorter: predecessors would form a cycle.
+    (n, m), slack = cost.shape, 1e-12 * cost.max()
     flow, left, need, total = np.zeros((n, m)), supply.copy(), demand.copy(), 0.0
     while left.max() > 1e-12 and need.max() > 1e-12:
         dist_a, dist_b = np.where(left > 1e-12, 0.0, np.inf), np.full(m, np.inf)
@@ -430,11 +431,11 @@ def earth_mover(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray, em
         for _ in range(n + m):
             through = dist_a[:, None] + cost
             best = through.min(axis=0)
-            moved = best < dist_b - 1e-15
+            moved = best < dist_b - slack
             dist_b[moved], from_b[moved] = best[moved], through.argmin(axis=0)[moved]
             back = np.where(flow > 1e-12, dist_b[None, :] - cost, np.inf)
             best = back.min(axis=1)
-            again = best < dist_a - 1e-15
+            again = best < dist_a - slack
             dist_a[again], from_a[again] = best[again], back.argmin(axis=1)[again]
             if not moved.any() and not again.any():
                 break

@@ -559,7 +559,7 @@ add("lda", _lda)
 def _pairs(column):
     def run(spark, sf):
         o = objects(spark, sf)
-        return o.where("idx < 40").select("idx", F.col(column).alias("a")).crossJoin(F.broadcast(o.where("idx < 2").select(F.col("idx").alias("q"), F.col(column).alias("b"))))
+        return o.select("idx", F.col(column).alias("a")).crossJoin(F.broadcast(o.where("idx < 2").select(F.col("idx").alias("q"), F.col(column).alias("b"))))
 
     return run
 
@@ -579,11 +579,11 @@ def _emd(spark, sf):
 add("emd", _emd)
 add("tamura", lambda sp, sf: X.tamura(objects(sp, sf), "idx", "image", 4))
 add("gabor", lambda sp, sf: X.gabor(objects(sp, sf), "idx", "image"))
-add("invariant", lambda sp, sf: X.invariant(objects(sp, sf).where("idx < 50"), "idx", "image"))
-add("relational", lambda sp, sf: X.invariant(objects(sp, sf).where("idx < 50"), "idx", "image", "relational"))
+add("invariant", lambda sp, sf: X.invariant(objects(sp, sf), "idx", "image"))
+add("relational", lambda sp, sf: X.invariant(objects(sp, sf), "idx", "image", "relational"))
 add("local_grid", lambda sp, sf: X.local_features(objects(sp, sf), "idx", "image", "grid"))
-add("local_dog", lambda sp, sf: X.local_features(objects(sp, sf).where("idx < 50"), "idx", "image", "dog", 5))
-add("local_orientation", lambda sp, sf: X.local_features(objects(sp, sf).where("idx < 50"), "idx", "image", "grid", 2, 8, "orientation"))
+add("local_dog", lambda sp, sf: X.local_features(objects(sp, sf), "idx", "image", "dog", 5))
+add("local_orientation", lambda sp, sf: X.local_features(objects(sp, sf), "idx", "image", "grid", 2, 8, "orientation"))
 
 
 def _tuned(spark, sf):
@@ -643,7 +643,7 @@ def _svm_feedback(spark, sf):
 
 add("comb_svm", _svm_feedback)
 add("lf_signature", lambda sp, sf: C.signatures(local_rows(objects(sp, sf)), "idx", "v"))
-add("position_clusters", lambda sp, sf: C.position_clusters(objects(sp, sf).where("idx < 50").select("idx", F.explode("lf").alias("l")).select("idx", F.col("l")[0].alias("x"), F.col("l")[1].alias("y")), "idx", 1))
+add("position_clusters", lambda sp, sf: C.position_clusters(objects(sp, sf).select("idx", F.explode("lf").alias("l")).select("idx", F.col("l")[0].alias("x"), F.col("l")[1].alias("y")), "idx", 1))
 
 
 def _gaussian_classes(spark, sf):
@@ -652,12 +652,12 @@ def _gaussian_classes(spark, sf):
 
 
 add("gaussian_classifier", _gaussian_classes)
-add("gt_stemmed_overlap", lambda sp, sf: V.truth_by_overlap(table(sp, sf, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("idx"), stemming.stems(F.split("p_name", " ")).alias("w")), "w"))
+add("gt_stemmed_overlap", lambda sp, sf: V.truth_by_overlap(table(sp, sf, "part").select(F.col("p_partkey").alias("idx"), stemming.stems(F.split("p_name", " ")).alias("w")), "w"))
 add("train_test_split", lambda sp, sf: C.split(objects(sp, sf), "idx", 0.7)[0].select("idx", "class"))
-add("tamura_pairs", lambda sp, sf: X.tamura_pairs(objects(sp, sf).where("idx < 50"), "idx", "image", [0.5, 1.0]))
+add("tamura_pairs", lambda sp, sf: X.tamura_pairs(objects(sp, sf), "idx", "image", [0.5, 1.0]))
 add("sparse_gabor", lambda sp, sf: X.sparse_gabor(objects(sp, sf), "idx", "image"))
 for _n, _points in ((1, [(4.0, 0.0)]), (3, [(4.0, 0.0), (0.0, 8.0), (2.0, 2.0)])):
-    add(f"invariant_monomial{_n}", lambda sp, sf, p=_points: X.kernel_histogram(objects(sp, sf).where("idx < 30"), "idx", "image", p))
+    add(f"invariant_monomial{_n}", lambda sp, sf, p=_points: X.kernel_histogram(objects(sp, sf), "idx", "image", p))
 add("remove_rows", lambda sp, sf: R.without_rows(objects(sp, sf), ["o3", "o10"]).select("idx", "name"), "SELECT row_number() OVER (ORDER BY vec_id)-1 AS idx, 'o'||vec_id AS name FROM embeddings WHERE vec_id NOT IN (3,10)")
 add("box_predicate", lambda sp, sf: objects(sp, sf).select("idx", S.inside(F.struct(F.lit(-0.1).alias("xmin"), F.lit(-0.1).alias("ymin"), F.lit(0.1).alias("xmax"), F.lit(0.1).alias("ymax")), F.col("v")[0], F.col("v")[1]).alias("inside")), f"WITH {OBJ} SELECT idx, v[1]>=-0.1 AND v[1]<=0.1 AND v[2]>=-0.1 AND v[2]<=0.1 AS inside FROM obj")
 
