@@ -6,6 +6,7 @@ import atexit
 import shutil
 import sys
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable
 from typing import Any
@@ -22,16 +23,19 @@ CACHE_WORDS = 400_000
 
 
 _own_dirs: dict[str, str] = {}
+_writing, _lock = {}, threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares for intermediate tables.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-    temporary folder is made for the application and removed when the driver ends.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and the master is local (tests, a laptop) a
+    temporary folder is made for the application and removed when the driver ends. On a cluster it must be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: executors and driver need a shared folder for intermediate tables")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             path = tempfile.mkdtemp(prefix="lodestar-")
@@ -41,6 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _clean_up(spark: SparkSession, by: int) -> None:
+    """Shuffle files are removed after use while any write of the session goes on; its own setting returns after the last."""
+    with _lock:
+        key = id(spark._jsparkSession)
+        n, before = _writing.get(key, (0, None))
+        if n == 0:
+            before = spark.conf.get(CLEAN_UP, "false")
+            spark.conf.set(CLEAN_UP, "true")
+        _writing[key] = (n + by, before)
+        if n + by == 0:
+            spark.conf.set(CLEAN_UP, before)
+            del _writing[key]
+
+
 def durable(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
@@ -49,13 +67,22 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
+    _clean_up(spark, 1)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        _clean_up(spark, -1)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``durable`` returned, once all that reads them is written."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.durable_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def fits(df: DataFrame, rows: int) -> bool:
@@ -132,12 +159,15 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     ids, so that a node with very many links is split like any skewed join. Empty edges give no rows.
     """
     both = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), tag)
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), tag)
+    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root"), F.lit(False).alias("moved")), tag)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         moved = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        after = durable(moved.join(up, "root").select("node", "was", F.least("root", "next").alias("root")), tag)
-        labels = after.select("node", "root")
-        if after.where("root <> was").limit(1).count() == 0:
+        low = F.least("root", "next")
+        after = durable(moved.join(up, "root").select("node", low.alias("root"), (low != F.col("was")).alias("moved")), tag)
+        discard(labels)
+        labels = after
+        if labels.where("moved").limit(1).count() == 0:
+            discard(both)
             return labels

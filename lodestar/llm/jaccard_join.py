@@ -4,33 +4,40 @@ A document is the set of its distinct word n-grams, hashed to 64 bits. Two docum
 ``100 * intersection >= percent * union``. The elements of a set are hashed into ``GROUPS`` groups and
 the counts by group are a point; the sum of the smaller coordinates of two points bounds their
 overlap from above, and the same sum with the upper corner of an R-tree node bounds it for all points
-below that node. Linked sets must share one of their smallest hashes (a set of n needs only its
-n - ceil(percent n / 100) + 1 smallest), so documents meet by those hashes in tasks; there the tree
-leaves few pairs, and those are verified on the whole sets. No link is lost: bounds are never below
-the true overlap.
-
-Every meeting carries a coarse point. What passes it is looked at again with a fine point, which has
+below that node. Linked sets must share one of the first elements of a common order (a set of n needs only its
+first n - ceil(percent n / 100) + 1), so documents meet by those in tasks; there the tree leaves few pairs, and those are
+verified on the whole sets (of 64-bit hashes). No link is lost: bounds are never below the true overlap, and the order,
+by hash with elements common to very many texts last, is the same for all sets.
+
+Equal sets are one node. Nodes meet first by their smallest hash alone and link around the points nearest to the mean of
+their group. Then they meet by all of their first elements, but only groups whose nodes are not yet all connected
+look further, so a group of near copies of any size costs about one verified pair per member instead of all pairs.
+A meeting carries a coarse point. What passes it is looked at again with a fine point, which has
 more groups the larger the set (a fine point folds to a coarser one by adding coordinates).
-Equal sets are one node. A group that meets first links around the points nearest to its mean; later
-rounds look only at pairs whose nodes are not yet connected, so a group of near copies of any
-size costs about one verified pair per member instead of all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WordHashes, binaries, components, durable, shingles, slices, small, worker_cache
+from lodestar.llm.common import WordHashes, binaries, components, discard, durable, fits, shingles, slices, small, worker_cache
 
 GROUPS = 32
 #: Node ids of at most so many are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Texts of which common shingles are counted: one of so many; texts that hold one there, at least; shingles, at most (8 bytes each).
+SHARE, MANY, COMMON = 16, 8, 1_000_000
+#: Elements that a task keeps before it passes their counts on.
+FLUSH = 2_000_000
+#: Members of a group that one task looks at; larger groups are split into blocks, and each pair of blocks meets.
+BLOCK = 20_000
 #: Groups up to so many members emit every pair that passes the bound at once.
 SMALL_GROUP = 4
 #: Groups of fine points: so many for sets up to so many elements.
@@ -163,13 +170,52 @@ def sets_of(width: int):
     return run
 
 
-def signatures_of(width: int, percent: int):
-    """Arrow function: (doc_id, n, node, point, fine, smallest) of each text."""
+def counted_shingles(width: int):
+    """Arrow function: (h, n), partial counts of the texts that hold each shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = worker_cache("words", WordHashes)
+        hashes, kept, size = worker_cache("words", WordHashes), [], 0
+
+        def batch_of() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *kept]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+        for batch in slices(batches):
+            kept += [shingles(hashes.of((text or b"").lower().split()), width) for text in binaries(batch.column("text"))]
+            size = sum(map(len, kept))
+            if size >= FLUSH:
+                yield batch_of()
+                kept = []
+        yield batch_of()
+
+    return run
+
+
+def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of shingles that very many texts hold, at most ``COMMON`` of them.
+
+    They are counted over one of ``SHARE`` texts and only order the elements of sets: any order finds all links, but
+    with common elements last those who share no more than a passage or a line seldom meet.
+    """
+    part = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARE)) == 0)
+    many, found = MANY, durable(part.mapInArrow(counted_shingles(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= MANY), "jaccard-common")
+    while not fits(found.where(F.col("n") >= many), COMMON):
+        many *= 2
+    out = np.sort(found.where(F.col("n") >= many).select("h").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+    discard(found)
+    return out
+
+
+def signatures_of(width: int, percent: int, common):
+    """Arrow function: (doc_id, n, node, point, fine, first, prefix) of each text.
+
+    ``first`` is the smallest hash; ``prefix`` the elements of which linked sets share one, common elements ordered last.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, last = worker_cache("words", WordHashes), common.value
         for batch in slices(batches):
-            n, node, points, fine, smallest = [], [], [], [], []
+            n, node, points, fine, first, prefix = [], [], [], [], [], []
             for text in binaries(batch.column("text")):
                 elements = shingles(hashes.of((text or b"").lower().split()), width)
                 k = len(elements)
@@ -177,11 +223,16 @@ def signatures_of(width: int, percent: int):
                 node.append(name_of(elements) if k else None)
                 points.append(point(elements))
                 fine.append(fine_point(elements))
-                smallest.append(elements[: k - -(-percent * k // 100) + 1 if k else 0].view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in smallest])]).astype(np.int32)
+                first.append(int(elements[:1].view(np.int64)[0]) if k else None)
+                if len(last) and k:
+                    late = last[np.minimum(np.searchsorted(last, elements), len(last) - 1)] == elements
+                    elements = np.concatenate([elements[~late], elements[late]]) if late.any() else elements
+                prefix.append(elements[: k - -(-percent * k // 100) + 1 if k else 0].view(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *prefix])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *smallest])))],
-                names=["doc_id", "n", "node", "point", "fine", "smallest"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), pa.array(first, pa.int64()), prefix],
+                names=["doc_id", "n", "node", "point", "fine", "first", "prefix"],
             )
 
     return run
@@ -221,10 +272,10 @@ def _batch(kind: int, a: list, b: list) -> pa.RecordBatch:
 
 
 def meetings(percent: int):
-    """Arrow function over (h, node, n, point) sorted by h: kind 0, pairs (a, b) whose coarse points may link, of groups of few; kind 1, (h, node) of larger groups that have such pairs."""
+    """Arrow function over (h, node, root, n, point) sorted by h: kind 0, pairs (a, b) of different roots whose coarse points may link, of groups of few; kind 1, (h, node) of larger groups that are in such pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (h, node, n, code), starts in _groups(batches, ["h", "node", "n", "point"]):
+        for (h, node, root, n, code), starts in _groups(batches, ["h", "node", "root", "n", "point"]):
             a, b, gh, gn = [], [], [], []
             sizes = np.diff(starts)
             for k in range(2, SMALL_GROUP + 1):
@@ -233,15 +284,22 @@ def meetings(percent: int):
                     for y in range(x + 1, k):
                         i, j = first + x, first + y
                         overlap = np.minimum(UPPER[code[i]], UPPER[code[j]]).sum(axis=1)
-                        may = ((100 + percent) * overlap >= percent * (n[i] + n[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (node[i] != node[j])
+                        may = ((100 + percent) * overlap >= percent * (n[i] + n[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (root[i] != root[j])
                         a.append(np.minimum(node[i[may]], node[j[may]]))
                         b.append(np.maximum(node[i[may]], node[j[may]]))
             for s, k in zip(starts[:-1][sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP], strict=True):
                 _, own = np.unique(node[s : s + k], return_index=True)
                 own = own + s
                 size, counts = n[own], UPPER[code[own]]
-                tree = CountTree(size, counts, percent)
-                may = np.array([len(tree.query(size[c], counts[c])[0]) > 1 for c in range(len(own))])
+                _, of, many = np.unique(root[own], return_inverse=True, return_counts=True)
+                if len(many) < 2:
+                    continue
+                tree, may = CountTree(size, counts, percent), np.zeros(len(own), bool)
+                for c in np.flatnonzero(of != np.argmax(many)):  # every pair of different roots has a side outside the main root
+                    hits = tree.query(size[c], counts[c])[0]
+                    hits = hits[of[hits] != of[c]]
+                    may[hits] = True
+                    may[c] |= len(hits) > 0
                 if may.any():
                     gh.append(np.full(may.sum(), h[s]))
                     gn.append(node[own[may]])
@@ -267,49 +325,26 @@ def fine_pairs(percent: int):
 
 
 def first_links(percent: int):
-    """Arrow function over (h, node, n, fine) sorted by h: kind 0, pairs (a, b) to verify; kind 1, (h, node) of groups that a later round looks at again.
+    """Arrow function over (h, node, n, fine) sorted by h: pairs (a, b) to verify, about one for each member of a group.
 
-    Each node in order of its distance to the mean takes those that may link with it out of the group. A group is
-    looked at again unless every pair that may link is among those emitted.
+    Each node in order of its distance to the mean takes those that may link with it out of the group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (h, node, n, fine), starts in _groups(batches, ["h", "node", "n", "fine"]):
-            a, b, gh, gn = [], [], [], []
+        for (_, node, n, fine), starts in _groups(batches, ["h", "node", "n", "fine"]):
+            a, b = [], []
             for s, e in zip(starts[:-1], starts[1:], strict=True):
                 _, own = np.unique(node[s:e], return_index=True)
                 own = own + s
-                ids, forest = node[own], Forest(n[own], list(fine[own]), percent)
-                alive, again, taken = np.ones(len(own), bool), np.zeros(len(own), bool), np.zeros(len(own), bool)
+                ids, forest, alive = node[own], Forest(n[own], list(fine[own]), percent), np.ones(len(own), bool)
                 for c in forest.from_mean():
-                    if not alive[c]:
-                        continue
-                    alive[c] = False
-                    hits = forest.query(c)[0]
-                    again[hits] |= not alive[hits].all() or len(hits) > 1
-                    again[c] |= not alive[hits].all()
-                    hits = hits[alive[hits]]
-                    a.append(np.minimum(ids[hits], ids[c]))
-                    b.append(np.maximum(ids[hits], ids[c]))
-                    alive[hits] = False
-                    taken[hits] = True
-                if not again.any() and taken.sum() > 1:
-                    # No taker had two hits or an earlier one, so only nodes that different takers took are left to compare.
-                    more = [(x, y) for x in np.flatnonzero(taken) for y in forest.query(x, taken)[0] if x < y]
-                    if len(more) > len(own):
-                        again[:] = True
-                    elif more:
-                        x, y = np.array(more).T
-                        a.append(np.minimum(ids[x], ids[y]))
-                        b.append(np.maximum(ids[x], ids[y]))
-                if again.any():
-                    gh.append(np.full(len(own), h[s]))
-                    gn.append(ids)
-            if a:
-                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-                yield _batch(0, [pairs[:, 0]], [pairs[:, 1]])
-            if gh:
-                yield _batch(1, gh, gn)
+                    if alive[c]:
+                        alive[c] = False
+                        hits = forest.query(c, alive)[0]
+                        a.append(np.minimum(ids[hits], ids[c]))
+                        b.append(np.maximum(ids[hits], ids[c]))
+                        alive[hits] = False
+            yield _batch(0, a, b)
 
     return run
 
@@ -366,8 +401,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeated rows stay, each with the same result. A null id takes no part: its row has its n_shingles
     and a null component. An empty table gives no rows. Other columns of the input are not read.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = durable(rows.mapInArrow(signatures_of(width, percent), "doc_id long, n long, node long, point binary, fine binary, smallest array<long>"), "jaccard-signatures")
+    common = spark.sparkContext.broadcast(common_shingles(rows, width))
+    signed = durable(rows.mapInArrow(signatures_of(width, percent, common), "doc_id long, n long, node long, point binary, fine binary, first long, prefix array<long>"), "jaccard-signatures")
     known = signed.where("node is not null and doc_id is not null")
     lowest = durable(known.groupBy("node").agg(F.min("doc_id").alias("low")), "jaccard-classes")
     repeated = known.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0  # an id with several rows
@@ -389,36 +426,66 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sets = durable(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]) if repeated else sets, "jaccard-sets")
         left = found.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("left")), "a")
         both = left.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("right")), "b")
-        common = both.select("a", "b", F.size(F.array_intersect("left", "right")).alias("common"), (F.size("left") + F.size("right")).alias("total"))
-        return durable(common.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b"), "jaccard-edges")
-
-    met = dealt(reps.select(F.explode("smallest").alias("h"), "node", "n", "point"), ["node", "n", "point"], meetings(percent))
-    pairs = met.where("kind = 0").select("a", "b").distinct()
+        shared = both.select("a", "b", F.size(F.array_intersect("left", "right")).alias("shared"), (F.size("left") + F.size("right")).alias("total"))
+        edges = durable(shared.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b"), "jaccard-edges")
+        discard(found, wanted, sets)
+        return edges
+
+    # First, nodes meet by their smallest hash alone. Parts of a large group share their least node.
+    firsts = reps.select(F.col("first").alias("h"), "node")
+    many = durable(firsts.groupBy("h").agg(F.count("*").alias("many"), F.min("node").alias("least")).where("many > 1"), "jaccard-firsts")
+    parts = F.ceil(F.col("many") / BLOCK).cast("int")
+    dealt_firsts = firsts.join(many, "h").select("node", F.when(parts > 1, F.xxhash64("h", F.pmod(F.xxhash64("node"), parts))).otherwise(F.col("h")).alias("h"))
+    shared_least = many.where(parts > 1).select(F.col("least").alias("node"), F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.xxhash64("h", i))).alias("h"))
+    links = dealt(dealt_firsts.union(shared_least).join(points, "node"), ["node", "n", "fine"], first_links(percent))
+    edges = [verified(links.select("a", "b"))]
+    roots = components(edges[0])
+    discard(links, many)
+
+    # Then by all of their prefixes, but only in groups of several roots. Large groups meet as pairs of blocks.
+    placed = reps.select("node", "prefix").join(roots.select("node", "root"), "node", "left").select(F.explode("prefix").alias("h"), "node", F.coalesce("root", "node").alias("root"))
+    group = Window.partitionBy("h")
+    placed = placed.withColumns({"least": F.min("root").over(group), "most": F.max("root").over(group), "many": F.count("*").over(group)}).where("least <> most")
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node"), blocks)
+    cells = F.when(blocks > 1, F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.xxhash64("h", F.least(i, block), F.greatest(i, block)))).otherwise(F.array("h"))
+    placed = durable(placed.select(F.explode(cells).alias("h"), "node", "root"), "jaccard-placed")
+    links = dealt(placed.join(reps.select("node", "n", "point"), "node"), ["node", "root", "n", "point"], meetings(percent))
+    discard(placed)
+    pairs = links.where("kind = 0").select("a", "b").distinct()
     left, right = points.toDF("a", "n", "left"), points.toDF("b", "m", "right")
     pairs = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("n") + F.col("m")).alias("total"), "left", "right").mapInArrow(fine_pairs(percent), "a long, b long")
-    links = dealt(grouped(met).join(points, "node"), ["node", "n", "fine"], first_links(percent))
-    edges = verified(pairs.union(links.where("kind = 0").select("a", "b")))
-    roots, groups, most = components(edges), grouped(links), FIRST_LIST
+
+    def joined(more: DataFrame) -> DataFrame:
+        """The roots with ``more`` links beside those known."""
+        nonlocal roots
+        edges.append(more)
+        if more.limit(1).count():
+            before, roots = roots, components(reduce(DataFrame.union, edges))
+            discard(before)
+        return roots
+
+    roots, most = joined(verified(pairs)), FIRST_LIST
     while True:
-        placed = groups.join(roots, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
+        placed = grouped(links).join(roots.select("node", "root"), "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
         mixed = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
         again = durable(placed.join(mixed, "h", "left_semi"), "jaccard-again")
+        discard(links)
         if again.limit(1).count() == 0:
             break
         links = dealt(again.join(points, "node"), ["node", "root", "n", "fine"], later_links(percent, most))
+        discard(again)
         if links.where("kind = 0").limit(1).count():
-            more = verified(links.where("kind = 0").select("a", "b"))
-            if more.limit(1).count():
-                edges = edges.union(more)
-                roots = components(edges)
-        groups = grouped(links)
+            roots = joined(verified(links.where("kind = 0").select("a", "b")))
         most *= 16
 
-    lows = roots.join(lowest, "node")
+    lows = roots.select("node", "root").join(lowest, "node")
     comps = lows.join(lows.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
     placed = lowest.join(comps, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(placed, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = durable(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")), "jaccard-result")
+    discard(again, signed, lowest, roots, *edges)
+    return out
 
 
 def oracle(table: str = "documents", width: int = 4, percent: int = 85) -> str:
