@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import slices
+from lodestar.llm.common import CACHED_LENGTH, slices
 
 #: Rows of which the scorer is trained, at most.
 SAMPLE = 8_000
@@ -73,6 +73,8 @@ def votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
 
 
 LABELLERS = 11
+#: Votes that a labeller is taken to have cast in each class as at the start, whatever the table's size.
+PSEUDO = 20.0
 
 
 def pattern(v: tuple[int, ...]) -> int:
@@ -136,7 +138,7 @@ def estimate(counts: dict[int, int], labellers: int = LABELLERS, rounds: int = 2
     seen = np.array([[c // 3 ** (labellers - 1 - i) % 3 for i in range(labellers)] for c in codes])
     share = np.array([0.15, 0.85])
     table = np.tile(np.array([[[0.4, 1.0, 0.6]], [[0.03, 1.0, 0.97]]]), (1, labellers, 1))  # not voting is no evidence
-    prior, post = (0.5 + 0.02 * n.sum()) * table, None  # keeps the meaning of each labeller's votes
+    prior, post = PSEUDO * table, None  # keeps the meaning of each labeller's votes where they are few
     for _ in range(rounds):
         logs = np.log(share)[None, :] + sum(np.log(table[:, i, :]).T[seen[:, i]] for i in range(labellers))
         logs -= logs.max(axis=1, keepdims=True)
@@ -182,9 +184,11 @@ def score_rows(keys: list[str], posteriors: dict[int, float], weights: np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class Weights(dict):
             def __missing__(self, word: bytes) -> float:
-                if len(self) >= CACHE:
-                    self.clear()
-                x = self[word] = float(weights[list(word_buckets(word))].sum())
+                x = float(weights[list(word_buckets(word))].sum())
+                if len(word) <= CACHED_LENGTH:
+                    if len(self) >= CACHE:
+                        self.clear()
+                    self[word] = x
                 return x
 
         known = Weights()
@@ -215,6 +219,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     share = min(1.0, sample / max(1, sum(counts.values())))
     chosen = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else docs
     rows = chosen.select(F.col(text_col).cast("string").alias("text")).mapInArrow(sample_rows, "pattern int, buckets binary, weights binary").limit(sample).collect()
+    if not rows and counts:  # few distinct ids, none of which the hash chose: the first rows
+        rows = texts.mapInArrow(sample_rows, "pattern int, buckets binary, weights binary").limit(sample).collect()
     weights, bias = train([(bytes(x["buckets"]), bytes(x["weights"]), posteriors[x["pattern"]]) for x in rows])
     return posteriors, weights, bias
 
