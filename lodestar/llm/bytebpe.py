@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import base64
+import os
 import re
 from functools import cached_property
 from pathlib import Path
 
 import numpy as np
 
-CACHE_CHUNKS = 150_000
+#: Chunks that are remembered, at most, and the characters of the longest of them.
+CACHE_CHUNKS, CACHED_LENGTH = 150_000, 64
 #: Two adjacent white-space characters, or the text of a special token: such a text is encoded as a whole.
 WHOLE = re.compile(r"\s\s|<\|")
 #: The published pre-tokenizing pattern of this vocabulary (fixed value).
@@ -22,13 +24,14 @@ class ByteBpe:
     """Ids by a ``tokenizers`` file whose pre-tokenizer joins at most one leading space to a word.
 
     No token crosses a space that stands alone, so a text's ids are those of its chunks, each a
-    space and what follows up to the next. Chunks repeat; their ids are remembered up to a fixed
-    number. Texts with adjacent white space or special tokens are encoded as they are. Where the same
+    space and what follows up to the next. Chunks repeat; the ids of short ones are remembered up to a
+    fixed number. Texts with adjacent white space or special tokens are encoded as they are. Where the same
     vocabulary lies beside the file as ranks (``.tiktoken``), chunks of Latin letters are encoded by
     it, which gives the same ids in a third of the time; all others by ``tokenizers``.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side already
         self.path = path
         self.chunks: dict[str, bytes] = {}
         self.ranks = None
@@ -45,19 +48,20 @@ class ByteBpe:
 
         return Tokenizer.from_file(self.path)
 
-    def fresh(self, chunks: list[str]) -> None:
-        """Remember the ids of new chunks."""
+    def fresh(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of chunks."""
+        out, other = {}, chunks
         if self.ranks is not None:
             other = []
             for x in chunks:
                 if x.isascii() or max(x) < LATIN_END:
-                    self.chunks[x] = np.array(self.ranks.encode_ordinary(" " + x), dtype="<u4").tobytes()
+                    out[x] = np.array(self.ranks.encode_ordinary(" " + x), dtype="<u4").tobytes()
                 else:
                     other.append(x)
-            chunks = other
-        if chunks:
-            for x, found in zip(chunks, self.tokenizer.encode_batch_fast([" " + x for x in chunks], add_special_tokens=False), strict=True):
-                self.chunks[x] = np.array(found.ids, dtype="<u4").tobytes()
+        if other:
+            for x, found in zip(other, self.tokenizer.encode_batch_fast([" " + x for x in other], add_special_tokens=False), strict=True):
+                out[x] = np.array(found.ids, dtype="<u4").tobytes()
+        return out
 
     def first(self, chunk: str) -> bytes:
         """The ids of a chunk without a leading space."""
@@ -82,9 +86,9 @@ class ByteBpe:
             return head + b"".join(map(chunks.__getitem__, rest))
         except KeyError:
             pass
-        missing = [x for x in set(rest) if x not in chunks]
-        if len(chunks) + len(missing) > CACHE_CHUNKS:
+        here = set(rest)
+        if len(chunks) + len(here) > CACHE_CHUNKS:
             chunks.clear()
-            missing = list(set(rest))
-        self.fresh(missing)
-        return head + b"".join(map(chunks.__getitem__, rest))
+        found = self.fresh([x for x in here if x not in chunks])
+        chunks.update((x, ids) for x, ids in found.items() if len(x) <= CACHED_LENGTH)
+        return head + b"".join([found[x] if x in found else chunks[x] for x in rest])

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Spark's setting that removes shuffle files at the end of an execution.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Distinct words that a Python worker remembers; beyond it the memory starts afresh.
-CACHE_WORDS = 400_000
+#: Distinct words that a Python worker remembers; beyond it the memory starts afresh. Longer words are not remembered.
+CACHE_WORDS, CACHED_LENGTH = 400_000, 64
 
 
 _own_dirs: dict[str, str] = {}
@@ -107,9 +107,11 @@ class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered per worker up to a fixed number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHED_LENGTH:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

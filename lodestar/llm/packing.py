@@ -112,8 +112,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = durable(rows.mapInArrow(pieces_of(tokenizer_path, capacity, end_id), PIECES), "packing-pieces")
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("many"))
+    histogram = {int(x["length"]): int(x["many"]) for x in pieces.groupBy("length").agg(F.count("*").alias("many")).collect()}
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    counts = durable(counts.withColumn("before", F.coalesce(F.sum("many").over(before), F.lit(0))), "packing-counts")
-    histogram = {int(x["length"]): int(x["many"]) for x in counts.groupBy("length").agg(F.sum("many").alias("many")).collect()}
-    ranked = pieces.join(counts.select("task", "length", "before"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
+    counts = counts.select("task", "length", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("before"))
+    # The counts grow with the tasks, so they are not broadcast; a pair of task and length has few rows on either side.
+    ranked = pieces.join(counts.hint("shuffle_hash"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(places_of(slots(shortest_pack_first(histogram, capacity))), PLACED)

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import slices, worker_cache
 
 MARK = "▁"
-CACHE = 500_000
+#: Blocks that are remembered, at most, and the characters of the longest of them.
+CACHE, CACHED_LENGTH = 500_000, 64
 BLOCKS = re.compile(" +[^ ]*")
 
 
@@ -51,9 +52,11 @@ class Counts(dict):
             raise ValueError("a piece joins a word mark to what stands before it")
 
     def __missing__(self, block: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        count = self[block] = self.viterbi(block)
+        count = self.viterbi(block)
+        if len(block) <= CACHED_LENGTH:
+            if len(self) >= CACHE:
+                self.clear()
+            self[block] = count
         return count
 
     def viterbi(self, block: str) -> int:
