@@ -180,12 +180,14 @@ REGISTRY: dict[str, Builder] = {
     "crosscorrelation": cross_correlation_1d,
     "binary": binary, "binaryfeature": binary,
     "metafeature": meta,
+    "sparsejsd": sparse_jsd,
+    "sparsefidelity": sparse_fidelity,
     "histpair": histogram_pair,
     "facefeature": faces, "facefeat": faces,
 }
 
 #: The distance of a feature type where none is named.
-DEFAULTS = {"vector": "euclidean", "image": "euclidean", "histogram": "jsd", "sparse": "jsd", "meta": "metafeature", "binary": "binary", "faces": "facefeature", "pair": "histpair"}
+DEFAULTS = {"vector": "euclidean", "image": "idm", "histogram": "jsd", "sparse": "sparsejsd", "meta": "metafeature", "binary": "binary", "faces": "facefeature", "pair": "histpair"}
 
 #: Parameters by the names that distance specifications use.
 PARAMETERS = {"WEIGHT": ("weight", float), "CWEIGHT": ("weight", float), "D": ("shift", int), "USE": ("use", str), "COMPAT": ("compat", lambda x: x.lower() in ("1", "true", "yes"))}

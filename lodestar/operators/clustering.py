@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.arrays import argmin, total
+from lodestar.operators.steps import written
 
 SIGMA_FLOOR = 1e-8
 MODEL = "cluster int, elements long, mean array<double>, sigma array<double>"
@@ -123,17 +124,20 @@ def _within(rows: DataFrame, column: str, epsilon: float) -> DataFrame:
     return left.join(right, ["x", "y"]).where(total(F.zip_with("a", "b", lambda p, q: (p - q) * (p - q))) <= epsilon).select("i", "j")
 
 
-def dbscan(rows: DataFrame, column: str, epsilon: float, least: int, rounds: int = 50) -> DataFrame:
-    """(idx, cluster): density clusters named by their smallest core id; noise is null. Border rows join the smallest."""
-    pairs = _within(rows, column, epsilon).persist()
-    counts = pairs.groupBy(F.col("i").alias("idx")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("idx")
-    links = pairs.join(counts.withColumnRenamed("idx", "i"), "i", "left_semi").join(counts.withColumnRenamed("idx", "j"), "j", "left_semi").persist()
-    labels = counts.withColumn("cluster", F.col("idx")).persist()
-    for _ in range(rounds):
+def dbscan(rows: DataFrame, column: str, epsilon: float, least: int) -> DataFrame:
+    """(idx, cluster): density clusters named by their smallest core id; noise is null. Border rows join the smallest.
+
+    Least labels spread along links of cores and jump to their label's label, until none changes; each round is a written table.
+    """
+    pairs = written(_within(rows, column, epsilon), "dbscan-pairs")
+    counts = written(pairs.groupBy(F.col("i").alias("idx")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("idx"), "dbscan-cores")
+    links = written(pairs.join(counts.withColumnRenamed("idx", "i"), "i", "left_semi").join(counts.withColumnRenamed("idx", "j"), "j", "left_semi"), "dbscan-links")
+    labels = counts.withColumn("cluster", F.col("idx"))
+    while True:
         near = links.join(labels.withColumnRenamed("idx", "j"), "j").groupBy(F.col("i").alias("idx")).agg(F.min("cluster").alias("near"))
         jump = labels.select(F.col("idx").alias("cluster"), F.col("cluster").alias("next"))
         moved = labels.join(near, "idx").select("idx", F.col("cluster").alias("was"), F.least("cluster", "near").alias("cluster")).join(jump, "cluster").select("idx", "was", F.least("cluster", "next").alias("cluster"))
-        moved = moved.checkpoint() if rows.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else moved.persist()
+        moved = written(moved, "dbscan-labels")
         labels = moved.select("idx", "cluster")
         if moved.where("was <> cluster").limit(1).count() == 0:
             break
@@ -141,18 +145,46 @@ def dbscan(rows: DataFrame, column: str, epsilon: float, least: int, rounds: int
     return rows.select("idx").join(border, "idx", "left")
 
 
+def moments(rows: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, sums and the Gram matrix of an array column: each task adds up its batches and gives one row."""
+    import pyarrow as pa
+
+    def run(batches):
+        n, total, gram = 0, None, None
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(float)
+                total, gram = (x.sum(axis=0), x.T @ x) if gram is None else (total + x.sum(axis=0), gram + x.T @ x)
+                n += len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()]), pa.array([gram.ravel().tolist()])], names=["n", "total", "gram"])
+
+    parts = rows.select(F.col(column).cast("array<double>").alias("v")).where("v is not null").mapInArrow(run, "n long, total array<double>, gram array<double>")
+    n = parts.agg(F.sum("n")).head()[0] or 0
+
+    def added(name: str) -> np.ndarray:
+        return np.array([r["x"] for r in parts.select(F.posexplode(name).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()])
+
+    total = added("total")
+    return int(n), total, added("gram").reshape(len(total), len(total))
+
+
 def covariance(rows: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, mean and covariance: one pass of moments by pairs of dimensions, aggregated map-side."""
-    pairs = F.flatten(F.transform(F.col(column), lambda x, i: F.transform(F.slice(F.col(column), i + 1, F.size(column)), lambda y, j: F.struct(i.alias("i"), (i + j).alias("j"), (x * y).alias("xy")))))
-    second = rows.select(F.explode(pairs).alias("e")).groupBy("e.i", "e.j").agg(F.avg("e.xy").alias("m")).collect()
-    first = rows.select(F.posexplode(column).alias("d", "x")).groupBy("d").agg(F.count("*").alias("n"), F.avg("x").alias("m")).collect()
-    k = len(first)
-    mean, out = np.zeros(k), np.zeros((k, k))
-    for r in first:
-        mean[r["d"]] = r["m"]
-    for r in second:
-        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["m"]
-    return (first[0]["n"] if first else 0), mean, out - np.outer(mean, mean)
+    """Row count, mean and covariance, from one Gram matrix for each task."""
+    n, total, gram = moments(rows, column)
+    mean = total / max(n, 1)
+    return n, mean, gram / max(n, 1) - np.outer(mean, mean)
+
+
+def svd(rows: DataFrame, column: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest singular values of the matrix of all rows and its right singular vectors (as rows), by the Gram matrix.
+
+    The left vectors are the rows' projections divided by the values: ``project`` with a mean of zero.
+    """
+    _, _, gram = moments(rows, column)
+    values, vectors = np.linalg.eigh(gram)
+    order = np.argsort(-values)[:k]
+    return np.sqrt(np.maximum(values[order], 0.0)), vectors[:, order].T
 
 
 def pca(rows: DataFrame, column: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

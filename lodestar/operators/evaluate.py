@@ -96,3 +96,36 @@ def nearest_class(ranking: DataFrame, objects: DataFrame, leave_one_out: bool =
     first = ranking.where("idx <> q" if leave_one_out else "true").groupBy("q").agg(F.min_by("idx", "rank").alias("idx"))
     guessed = first.join(objects.select("idx", F.col("class").alias("prediction")), "idx")
     return guessed.join(objects.select(F.col("idx").alias("q"), F.col("class").alias("truth")), "q").select("q", "truth", "prediction")
+
+
+def precision_at_relevant(ranking: DataFrame, truth: DataFrame, compat: bool = False) -> DataFrame:
+    """(q, p): precision among as many first results as are relevant; ``compat`` reads the curve one rank further."""
+    number = truth.groupBy("q").agg(F.count("*").alias("relevant"))
+    reach = F.col("relevant") + F.lit(int(compat))
+    return hits(ranking, truth).join(number, "q").where(F.col("rank") <= reach).groupBy("q").agg((F.sum("rel") / F.first(reach)).alias("p"))
+
+
+def averages(ranking: DataFrame, truth: DataFrame, compat: bool = False) -> DataFrame:
+    """One row: the means over all queries with relevant objects of every metric, and the number of queries."""
+    curve = precision_recall(ranking, truth)
+    one = summary(ranking, truth)
+    for name, more in (
+        *((f"p{k}", precision_at(ranking, truth, k, compat).withColumnRenamed("p", f"p{k}")) for k in (1, 20, 50)),
+        ("pnrel", precision_at_relevant(ranking, truth, compat).withColumnRenamed("p", "pnrel")),
+        ("r100", recall_at(ranking, truth, 100 + int(compat)).withColumnRenamed("recall", "r100")),
+        ("prarea", area(eleven_points(curve)).withColumnRenamed("area", "prarea")),
+    ):
+        one = one.join(more.select("q", name), "q")
+    one = one.join(precision_at_recall(curve), "q")
+    names = ["er", "ap", "amp", "are", "rank1", "rank_tilde", "p1", "p20", "p50", "pnrel", "r100", "prarea", "r_at_half", "break_even"]
+    return one.agg(*[F.avg(c).alias({"ap": "map"}.get(c, c)) for c in names], F.count("*").alias("queries"))
+
+
+def example_ranking(results: DataFrame, queries: DataFrame) -> DataFrame:
+    """(q, idx, rank) from (qid, idx, score) of queries with several examples, the examples themselves left out.
+
+    ``q`` is -1 - qid, so that no query is mistaken for the object of the same number; ranks begin at 1.
+    """
+    left = results.join(queries.select("qid", "idx").distinct(), ["qid", "idx"], "left_anti")
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("idx"))
+    return left.select((-1 - F.col("qid")).cast("long").alias("q"), "idx", F.row_number().over(order).alias("rank"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import imaging
 from lodestar.functions.scalar import fuzzy_three, point_to_position, positions_to_bin
+from lodestar.operators.steps import few
 
 
 def aspect_ratio(image: Column) -> Column:
@@ -173,10 +174,10 @@ def local_hits(local: DataFrame, queries: DataFrame, column: str, k: int) -> Dat
     """
     from pyspark.sql import Window
 
-    d = local.select("idx", F.col(column).alias("a")).crossJoin(F.broadcast(queries.select("q", "f", F.col(column).alias("b"))))
+    d = local.select("idx", F.col(column).alias("a")).crossJoin(few(queries.select("q", "f", F.col(column).alias("b"))))
     d = d.select("q", "f", "idx", F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x).alias("d"))
     near = d.withColumn("r", F.row_number().over(Window.partitionBy("q", "f").orderBy("d", "idx"))).where(F.col("r") <= k)
     hits = near.groupBy("q", "idx").agg(F.count("*").alias("hits"))
-    every = local.select("idx").distinct().crossJoin(F.broadcast(queries.groupBy("q").agg((F.count_distinct("f") * k).alias("asked"))))
-    totals = F.broadcast(hits.groupBy("q").agg(F.sum("hits").alias("total")))
+    every = local.select("idx").distinct().crossJoin(few(queries.select("q").distinct()))
+    totals = hits.groupBy("q").agg(F.sum("hits").alias("total"))
     return every.join(totals, "q").join(hits, ["q", "idx"], "left").select("q", "idx", (F.col("total") - F.coalesce("hits", F.lit(0))).cast("double").alias("d"))

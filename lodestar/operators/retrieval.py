@@ -16,28 +16,23 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query objects that are broadcast at most.
-BROADCAST_QUERIES = 10_000
+from lodestar.operators.steps import few as _few, written
 
 Feature = tuple[str, Callable[[Column, Column], Column]]
 
 
-def _few(df: DataFrame, rows: int = BROADCAST_QUERIES) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def resolve_names(queries: DataFrame, objects: DataFrame) -> DataFrame:
     """(qid, idx, sign) of queries given by ``name``; unknown names are dropped."""
     return queries.join(objects.select("name", "idx"), "name").select("qid", "idx", "sign")
 
 
-def distances(objects: DataFrame, queries: DataFrame, features: Sequence[Feature]) -> DataFrame:
-    """Rows (qid, sign, q, idx, d0, d1, ...): each query object ``q`` of each query against each object."""
+def distances(objects: DataFrame, queries: DataFrame, features: Sequence[Feature], keep: Sequence[str] = ()) -> DataFrame:
+    """Rows (qid, sign, q, idx, d0, d1, ...): each query object ``q`` of each query against each object; ``keep`` names further columns of the objects."""
     columns = list(dict.fromkeys(name for name, _ in features))
     asked = objects.select("idx", *columns).join(_few(queries), "idx")
     asked = asked.select("qid", "sign", F.col("idx").alias("q"), *[F.col(c).alias(f"q_{c}") for c in columns])
-    pairs = objects.select("idx", *columns).crossJoin(_few(asked))
-    return pairs.select("qid", "sign", "q", "idx", *[f(F.col(c), F.col(f"q_{c}")).alias(f"d{j}") for j, (c, f) in enumerate(features)])
+    pairs = objects.select("idx", *dict.fromkeys([*keep, *columns])).crossJoin(_few(asked))
+    return pairs.select("qid", "sign", "q", "idx", *keep, *[f(F.col(c), F.col(f"q_{c}")).alias(f"d{j}") for j, (c, f) in enumerate(features)])
 
 
 def distance_columns(df: DataFrame) -> list[str]:
@@ -185,7 +180,7 @@ def rocchio_queries(objects: DataFrame, queries: DataFrame, column: str, beta: f
     asked = objects.select("idx", F.posexplode(column).alias("i", "x")).join(_few(queries), "idx")
     first = queries.where("sign > 0").groupBy("qid").agg(F.min("idx").alias("first"))
     many = queries.groupBy("qid").agg(F.count_if(F.col("sign") > 0).alias("p"), F.count_if(F.col("sign") < 0).alias("n"))
-    asked = asked.join(F.broadcast(first), "qid").join(F.broadcast(many), "qid")
+    asked = asked.join(_few(first), "qid").join(_few(many), "qid")
     b = F.lit(beta) if beta is not None else F.lit(1.0) / F.col("p")
     g = F.lit(gamma) if gamma is not None else F.coalesce(F.lit(1.0) / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
     is_first = F.col("idx") == F.col("first")
@@ -252,32 +247,50 @@ def retrieve(objects: DataFrame, queries: DataFrame, features: Sequence[Feature]
 
 # Cascade.
 
-UNSEEN, BEYOND = 100.0, 1.2
+BEYOND = 1.2
 
 
 def cascade(objects: DataFrame, queries: DataFrame, stages: Sequence[tuple[int, int]], features: Sequence[Feature], weights: Sequence[float]) -> DataFrame:
     """(qid, idx, score) by a filter cascade of (feature, best k) stages.
 
     In each stage one further distance is computed for the survivors. Objects dropped before get 1.2 times its largest; columns not
-    yet computed are 100. All columns are mean-normalised over all objects, scored, and the best k survive. The last scores count for all:
-    positives s, negatives 1 - s, summed. Only survivors are joined with their features, so later stages read few vectors.
+    yet computed are one constant for all, 1 after normalisation. All columns are mean-normalised over all objects, scored, and the best k
+    survive. The last scores count for all: positives s, negatives 1 - s, summed.
+
+    The first distance of all objects is one narrow pass, written once. Of later stages only the survivors are rows; the
+    dropped ones enter means and scores as a count times a constant.
     """
-    state = objects.select("idx").crossJoin(_few(queries.select("qid", "sign", F.col("idx").alias("q"))))
-    state = state.withColumns({f"d{j}": F.lit(UNSEEN) for j in range(len(features))}).withColumn("alive", F.lit(True))
-    alive_objects, s = objects, None
-    for j, k in stages:
+    (first, k), *rest = stages
+    key = ["qid", "q"]
+    base = written(distances(objects, queries, [features[first]]), "cascade-first")
+    per = written(base.groupBy(*key).agg(F.avg("d0").alias("mean"), F.count("*").alias("n")), "cascade-queries")
+    base = base.join(_few(per.select(*key, "mean")), key).select("qid", "sign", "q", "idx", F.coalesce(F.col("d0") / F.nullif("mean", F.lit(0.0)), F.col("d0")).alias(f"x{first}")).drop("mean")
+    weight = [weights[j] if j < len(weights) else 0.0 for j in range(len(features))]
+
+    def score(seen: set[int]) -> Column:
+        return linear([F.col(f"x{j}") if j in seen else F.lit(1.0) for j in range(len(features))], weight)
+
+    def best(rows: DataFrame, seen: set[int], most: int) -> DataFrame:
+        order = Window.partitionBy(*key).orderBy(F.desc("_s"), F.desc("idx"))
+        return rows.withColumn("_s", score(seen)).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_s", "_r")
+
+    seen, alive, later = {first}, written(best(base.drop("sign"), {first}, k), "cascade-alive"), []
+    for j, k in rest:
         column, f = features[j]
-        own = objects.select(F.col("idx").alias("q"), F.col(column).alias("_q"))
-        seen = state.where("alive").select("qid", "q", "idx").join(alive_objects.select("idx", F.col(column).alias("_d")), "idx").join(_few(own.join(queries.select(F.col("idx").alias("q")).distinct(), "q")), "q")
-        seen = seen.select("qid", "q", "idx", f(F.col("_d"), F.col("_q")).alias("_new"))
-        largest = F.broadcast(seen.groupBy("qid", "q").agg(F.max("_new").alias("_max")))
-        state = state.join(seen, ["qid", "q", "idx"], "left").join(largest, ["qid", "q"])
-        state = state.withColumn(f"d{j}", F.coalesce("_new", F.lit(BEYOND) * F.col("_max"))).drop("_new", "_max")
-        state = normalize(state)
-        s = state.withColumn("s", linear([F.col(f"d{i}") for i in range(len(features))], weights))
-        order = Window.partitionBy("qid", "q").orderBy(F.desc("alive"), F.desc("s"), F.desc("idx"))
-        best = s.where("alive").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).select("qid", "q", "idx", F.lit(True).alias("_keep"))
-        state = s.drop("s", "alive").join(best, ["qid", "q", "idx"], "left").withColumn("alive", F.coalesce("_keep", F.lit(False))).drop("_keep")
+        asked = _few(objects.select(F.col("idx").alias("q"), F.col(column).alias("_q")).join(_few(queries.select(F.col("idx").alias("q")).distinct()), "q"))
+        met = objects.select("idx", F.col(column).alias("_d")).join(_few(alive), "idx").join(asked, "q")
+        met = written(met.withColumn("_new", f(F.col("_d"), F.col("_q"))).drop("_d", "_q", f"x{j}"), "cascade-stage")
+        sums = met.groupBy(*key).agg(F.max("_new").alias("_max"), F.sum("_new").alias("_sum"), F.count("*").alias("_m")).join(per.select(*key, "n"), key)
+        beyond = F.lit(BEYOND) * F.col("_max")
+        mean = F.nullif((F.col("_sum") + (F.col("n") - F.col("_m")) * beyond) / F.col("n"), F.lit(0.0))
+        sums = written(sums.select(*key, mean.alias("_mean"), F.coalesce(beyond / mean, beyond).alias("_beyond")), "cascade-means")
+        met = met.join(_few(sums.select(*key, "_mean")), key).withColumn(f"x{j}", F.coalesce(F.col("_new") / F.col("_mean"), F.col("_new"))).drop("_new", "_mean")
+        later = [(i, values, constant) for i, values, constant in later if i != j] + [(j, met.select(*key, "idx", f"x{j}"), sums.select(*key, "_beyond"))]
+        seen.add(j)
+        alive = written(best(met, seen, k), "cascade-alive")
+    for j, values, constant in later:
+        base = base.drop(f"x{j}").join(_few(values), [*key, "idx"], "left").join(_few(constant), key).withColumn(f"x{j}", F.coalesce(f"x{j}", "_beyond")).drop("_beyond")
+    s = base.withColumn("s", score(seen))
     value = F.when(F.col("sign") > 0, F.col("s")).otherwise(1 - F.col("s"))
     return s.groupBy("qid", "idx").agg(F.sum(value).alias("score"))
 
@@ -287,8 +300,7 @@ def cascade(objects: DataFrame, queries: DataFrame, stages: Sequence[tuple[int,
 
 def federated(objects: DataFrame, shard: Column, queries: DataFrame, features: Sequence[Feature], weights: Sequence[float], k: int, per_shard: bool = False) -> DataFrame:
     """Top k over shards. By default distances are normalised over all shards; ``per_shard`` normalises in each, as independent servers do."""
-    parts = objects.select("idx", shard.alias("shard"))
-    dist = distances(objects, queries, features).join(parts, "idx")
+    dist = distances(objects.withColumn("shard", shard), queries, features, keep=["shard"])
     dist = normalize(dist, ("qid", "q", "shard") if per_shard else ("qid", "q"))
     return top(score_sum(scored(dist, linear, weights)), k)
 

@@ -6,11 +6,14 @@ documents meet by an equi-join on the term, never pair by pair.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.steps import few, written
+
 
 def terms(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, term, tf): lower-cased runs of letters and digits, counted."""
@@ -82,13 +85,25 @@ def sparse_distances(stored: DataFrame, asked: DataFrame, measure: str = "fideli
         v = f * F.ln(two * f / (f + g)) + g * F.ln(two * g / (f + g)) - (f + g) * F.ln(two)
         start, sign = None, F.lit(1.0)
     found = pair_sums(stored, asked, v)
-    every = objects.crossJoin(F.broadcast(queries)).join(found, ["q", "id"], "left")
+    every = objects.crossJoin(few(queries)).join(found, ["q", "id"], "left")
     if start is None:
         every = every.join(stored.groupBy("id").agg(F.sum("f").alias("sf")), "id").join(asked.groupBy("q").agg(F.sum("g").alias("sg")), "q")
         start = (F.col("sf") + F.col("sg")) * F.ln(F.lit(2.0))
     return every.select("q", "id", (start + sign * F.coalesce("v", F.lit(0.0))).alias("d"))
 
 
+def smoothed_divergence(histogram: DataFrame, asked: DataFrame, steps: Sequence[int], share: float = 0.5, compat: bool = False) -> DataFrame:
+    """(q, id, d): Jensen-Shannon divergences of (id, bin, f) against (q, bin, f), both smoothed by ``share`` first; 0 leaves them as they are."""
+    if share < 0:
+        raise ValueError("a smoothing share is not negative")
+
+    def shares(h: DataFrame, key: str) -> DataFrame:
+        h = smoothed(h, [key], steps, share, compat) if share else h
+        return h.select(key, F.concat_ws(":", F.transform("bin", lambda x: x.cast("string"))).alias("term"), "f")
+
+    return sparse_distances(written(shares(histogram, "id"), "smoothed"), shares(asked, "q").withColumnRenamed("f", "g"), "jsd")
+
+
 def difference(a: Column, b: Column) -> Column:
     """Maps: |x - y| by bin, or whichever there is."""
     return F.map_zip_with(a, b, lambda k, x, y: F.abs(F.coalesce(x, F.lit(0.0)) - F.coalesce(y, F.lit(0.0))))
@@ -99,7 +114,7 @@ def difference(a: Column, b: Column) -> Column:
 
 def document_frequency(tf: DataFrame) -> DataFrame:
     """(term, df, idf): idf = ln(N / df) squared."""
-    n = tf.agg(F.count_distinct("id").alias("N"))
+    n = tf.select("id").distinct().agg(F.count("*").alias("N"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     return df.crossJoin(F.broadcast(n)).withColumn("idf", F.pow(F.ln(F.col("N") / F.col("df")), F.lit(2.0))).select("term", "df", "idf")
 
@@ -112,15 +127,22 @@ def tfidf_distance(tf: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def bm25_distance(tf: DataFrame, asked: DataFrame, k1: float = 1.5, k3: float = 8.0, b: float = 0.68) -> DataFrame:
-    """(q, id, d): 1 - normalised BM25 with idf ln(N/df) squared and cosine length norms, over documents that share a term."""
+    """(q, id, d): 1 - normalised BM25 with idf ln(N/df) squared and cosine length norms, over documents that share a term.
+
+    The term counts are written once and read by every statistic; of document frequencies only those of the query's terms are kept.
+    """
+    tf, asked = written(tf, "term-counts"), written(asked, "asked-terms")
     lengths = tf.groupBy("id").agg(F.sum("tf").alias("len"), F.sqrt(F.sum(F.col("tf") * F.col("tf").cast("double"))).alias("dn"))
     avg = F.broadcast(lengths.agg(F.avg("len").alias("avgdl")))
     norms = asked.groupBy("q").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf").cast("double"))).alias("qn"))
-    query = asked.select("q", "term", F.col("tf").alias("qtf")).join(document_frequency(tf).select("term", "idf"), "term")
-    joined = tf.join(query, "term").join(lengths, "id").crossJoin(avg)
+    n = F.broadcast(lengths.agg(F.count("*").alias("N")))
+    frequency = tf.join(few(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    idf = frequency.crossJoin(n).select("term", F.pow(F.ln(F.col("N") / F.col("df")), F.lit(2.0)).alias("idf"))
+    query = written(asked.select("q", "term", F.col("tf").alias("qtf")).join(idf, "term"), "query-terms")
+    joined = tf.join(few(query), "term").join(lengths, "id").crossJoin(avg)
     big_k = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.col("avgdl"))
     v = F.col("idf") * F.lit(k1 + 1) * F.col("tf") / (big_k + F.col("tf")) * F.lit(k3 + 1) * F.col("qtf") / (F.lit(k3) + F.col("qtf"))
-    return joined.groupBy("q", "id").agg(F.sum(v).alias("v"), F.first("dn").alias("dn")).join(norms, "q").select("q", "id", (1 - F.col("v") / (F.col("qn") * F.col("dn"))).alias("d"))
+    return joined.groupBy("q", "id").agg(F.sum(v).alias("v"), F.first("dn").alias("dn")).join(few(norms), "q").select("q", "id", (1 - F.col("v") / (F.col("qn") * F.col("dn"))).alias("d"))
 
 
 def smart2_distance(tf: DataFrame, asked: DataFrame) -> DataFrame:
@@ -134,6 +156,32 @@ def smart2_distance(tf: DataFrame, asked: DataFrame) -> DataFrame:
     return joined.groupBy("q", "id").agg(F.sum(wd).alias("n"), F.sum("wq").alias("m")).select("q", "id", (1 - F.coalesce(F.col("n") / F.nullif("m", F.lit(0.0)), F.lit(0.0))).alias("d"))
 
 
+#: The distance of all documents where none is found.
+NOTHING_FOUND = 10_000.0
+
+
+def text_distance(tf: DataFrame, asked: DataFrame, documents: DataFrame) -> DataFrame:
+    """(q, id, d) of every document: the query's largest similarity minus the document's, 1 - d of BM25.
+
+    Documents that share no term are as far as that largest similarity; queries that find nothing are 10,000 from all.
+    """
+    found = written(bm25_distance(tf, asked).select("q", "id", (1 - F.col("d")).alias("rsv")), "text-hits")
+    top = asked.select("q").distinct().join(found.groupBy("q").agg(F.max("rsv").alias("top")), "q", "left")
+    every = documents.select("id").distinct().crossJoin(few(top)).join(found, ["q", "id"], "left")
+    return every.select("q", "id", F.coalesce(F.col("top") - F.coalesce("rsv", F.lit(0.0)), F.lit(NOTHING_FOUND)).alias("d"))
+
+
+LANGUAGE_PART = re.compile(r'([A-Za-z]{2,3}):"([^"]*)"')
+
+
+def language_parts(query: str) -> list[tuple[str, str]]:
+    """(language, text) of ``En:"..." Fr:"..."``; an empty list for a query without languages. Other text beside the parts is an error."""
+    parts = LANGUAGE_PART.findall(query)
+    if re.search(r'\b[A-Za-z]{2,3}:"', query) and LANGUAGE_PART.sub("", query).strip():
+        raise ValueError(f"malformed query {query!r}")
+    return [(lang.lower(), text) for lang, text in parts]
+
+
 def text_scores(tf: DataFrame, asked: DataFrame, languages: DataFrame | None = None) -> DataFrame:
     """(q, id, score) of documents that share a term with the query text: exp(-d / mean d), summed over query languages.
 

@@ -7,6 +7,7 @@ places on both sides; ranking uses unrounded values.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 from pyspark.sql import Window
@@ -20,10 +21,14 @@ from lodestar.functions.arrays import drop_range, subtract, total, zero_dimensio
 from lodestar.operators import clustering as C
 from lodestar.operators import evaluate as V
 from lodestar.operators import features as X
+from lodestar.operators import named as N
 from lodestar.operators import rerank as RR
 from lodestar.operators import retrieval as R
 from lodestar.operators import sparse as SP
+from lodestar.operators.steps import shared_folder
 from lodestar.plans.fixtures import EU, FID, JSD, OBJ, QS, centres, local_rows, objects, parts, queries as examples, r6, s6, table, zs
+from lodestar.sources import formats as FM
+from lodestar.streaming import ingest as ST
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -224,8 +229,8 @@ add("comb_rocchio", _rocchio, _rocchio_sql("1.0"))
 add("comb_rocchio_compat", lambda sp, sf: _rocchio(sp, sf, True), _rocchio_sql("1.0+1.0/p"))
 _WD = f"WITH {OBJ}, {QS}, d AS (SELECT qs.qid, qs.sign, o.idx, sqrt({zs(EU, 'o.v', 'qo.v')}) AS d FROM qs JOIN obj qo ON qo.idx=qs.q CROSS JOIN obj o)"
 for _name, _mode, _agg in (("wd_unit", "WDRelevanceScore", "min"), ("wd_sumquot", "WDDistSumQuotient", "sum")):
-    add(f"comb_{_name}", lambda sp, sf, m=_mode: R.weighted_distance_scores(objects(sp, sf), examples(sp), "v", m).where("idx > 10").select("qid", "idx", r6(F.col("score")).alias("score")),
-        f"{_WD} SELECT qid, idx, {s6(f'coalesce(coalesce({_agg}(CASE WHEN sign<0 THEN d END),1)/nullif({_agg}(CASE WHEN sign>0 THEN d END),0),1e300)')} AS score FROM d WHERE idx>10 GROUP BY 1,2")
+    add(f"comb_{_name}", lambda sp, sf, m=_mode: R.weighted_distance_scores(objects(sp, sf), examples(sp), "v", m).select("qid", "idx", r6(F.col("score")).alias("score")),
+        f"{_WD} SELECT qid, idx, {s6(f'coalesce(coalesce({_agg}(CASE WHEN sign<0 THEN d END),1)/nullif({_agg}(CASE WHEN sign>0 THEN d END),0),1e300)')} AS score FROM d GROUP BY 1,2")
 
 _CAS = f"""WITH {OBJ}, {QS}, {_D}, a AS (SELECT qid, sign, q, idx, d1 AS e1, d0/avg(d0) OVER (PARTITION BY qid,q) AS n0 FROM d),
 b AS (SELECT *, row_number() OVER (PARTITION BY qid,q ORDER BY exp(-(1.0*n0+0.5*1.0)) DESC, idx DESC)<=100 AS alive FROM a),
@@ -266,7 +271,7 @@ def _ask(spark, sf):
     return SP.terms(table(spark, sf, "benchmark").where("item_id < 3"), "item_id", F.col("text")).withColumnRenamed("id", "q")
 
 
-add("text_tf", lambda sp, sf: _tf(sp, sf).where("tf >= 3"), f"{TEXT} SELECT id, term, tf FROM tf WHERE tf>=3")
+add("text_tf", _tf, f"{TEXT} SELECT id, term, tf FROM tf")
 add("text_idf", lambda sp, sf: SP.document_frequency(_tf(sp, sf)).select("term", "df", r6(F.col("idf")).alias("idf")), f"{TEXT} SELECT term, df, {s6('idf')} AS idf FROM df")
 _shared = "{0} FROM tf JOIN ask ON tf.term=ask.term"
 _TFIDF = f"{TEXT}, l AS (SELECT id, sum(tf) AS n FROM tf GROUP BY 1), m AS (SELECT q, sum(tf) AS n FROM ask GROUP BY 1) SELECT ask.q AS q, tf.id AS id, {s6('1-sum(sqrt(tf.tf/l.n*(ask.tf/m.n)))')} AS dist FROM tf JOIN ask ON tf.term=ask.term JOIN l ON l.id=tf.id JOIN m ON m.q=ask.q GROUP BY 1,2"
@@ -340,7 +345,7 @@ add("sparse_dense", lambda sp, sf: SP.dense(_supplier(sp, sf), ["l_suppkey"], 50
 
 def _smooth(compat):
     def run(spark, sf):
-        li = table(spark, sf, "lineitem").where("l_suppkey <= 5")
+        li = table(spark, sf, "lineitem")
         h = SP.feed(li, ["l_suppkey"], F.array(S.point_to_position(F.col("l_quantity"), 0.0, 50.0, 10), S.point_to_position(F.col("l_discount"), 0.0, 0.1, 5)))
         s = SP.smoothed(SP.relative(h, ["l_suppkey"]), ["l_suppkey"], [10, 5], 0.5, compat)
         return s.select("l_suppkey", F.col("bin")[0].alias("x"), F.col("bin")[1].alias("y"), r6(F.col("f")).alias("f"))
@@ -349,7 +354,7 @@ def _smooth(compat):
 
 
 for _compat, _div in ((False, "nn"), (True, "2")):
-    add(f"sparse_smooth{'_compat' if _compat else ''}", _smooth(_compat), f"""WITH {_SUPP}, h AS (SELECT l_suppkey, bin%10 AS x, bin//10 AS y, n/sum(n) OVER (PARTITION BY l_suppkey) AS f FROM sup WHERE l_suppkey<=5),
+    add(f"sparse_smooth{'_compat' if _compat else ''}", _smooth(_compat), f"""WITH {_SUPP}, h AS (SELECT l_suppkey, bin%10 AS x, bin//10 AS y, n/sum(n) OVER (PARTITION BY l_suppkey) AS f FROM sup),
 nb AS (SELECT h.*, x+dx AS nx, y+dy AS ny, count(*) OVER (PARTITION BY l_suppkey,x,y) AS nn FROM h, (VALUES (-1,0),(1,0),(0,-1),(0,1)) o(dx,dy) WHERE x+dx BETWEEN 0 AND 9 AND y+dy BETWEEN 0 AND 4),
 a AS (SELECT l_suppkey, x, y, 0.5*f AS f FROM h UNION ALL SELECT l_suppkey, nx, ny, 0.5*f/{_div} FROM nb) SELECT l_suppkey, x, y, {s6('sum(f)')} AS f FROM a GROUP BY 1,2,3""")
 
@@ -395,8 +400,8 @@ add("eval_loo", lambda sp, sf: V.nearest_class(_ranking(sp, sf), objects(sp, sf)
 add("eval_confusion", lambda sp, sf: V.confusion(V.nearest_class(_ranking(sp, sf), objects(sp, sf))), f"{_E}, g AS (SELECT q, any_value(qc) AS truth, arg_min(oc, rank) AS prediction FROM h GROUP BY 1) SELECT truth, prediction, count(*) AS n FROM g GROUP BY 1,2")
 add("gt_class", lambda sp, sf: V.truth_by_class(objects(sp, sf)), "SELECT a.vec_id AS q, b.vec_id AS idx FROM embeddings a JOIN embeddings b ON a.label=b.label AND a.vec_id<>b.vec_id")
 add("gt_query_class", _truth, "SELECT a.vec_id AS q, b.vec_id AS idx FROM embeddings a JOIN embeddings b ON a.label=b.label AND a.vec_id<>b.vec_id WHERE a.vec_id<20")
-add("gt_overlap", lambda sp, sf: V.truth_by_overlap(table(sp, sf, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("idx"), F.split("p_name", " ").alias("w")), "w"),
-    "WITH w AS (SELECT DISTINCT p_partkey AS idx, unnest(string_split(p_name,' ')) AS w FROM part WHERE p_partkey<=200) SELECT DISTINCT a.idx AS q, b.idx AS idx FROM w a JOIN w b ON a.w=b.w AND a.idx<>b.idx")
+add("gt_overlap", lambda sp, sf: V.truth_by_overlap(table(sp, sf, "part").select(F.col("p_partkey").alias("idx"), F.split("p_name", " ").alias("w")), "w"),
+    "WITH w AS (SELECT DISTINCT p_partkey AS idx, unnest(string_split(p_name,' ')) AS w FROM part) SELECT DISTINCT a.idx AS q, b.idx AS idx FROM w a JOIN w b ON a.w=b.w AND a.idx<>b.idx")
 
 
 # Images and scalar functions.
@@ -675,3 +680,132 @@ def _cached(spark, sf):
 
 
 add("cached_distances", _cached, f"WITH {OBJ} SELECT q.idx AS q, o.idx AS idx, {s6(zs(EU, 'o.v', 'q.v'))} AS dist FROM obj o, obj q WHERE q.idx IN (0, 1)")
+
+
+# Smoothed divergences, text distances with a default, further pages, metrics over all queries, examples of several objects.
+
+
+def _smoothed_jsd(share):
+    def run(spark, sf):
+        h = SP.feed(table(spark, sf, "lineitem"), ["l_suppkey"], F.array(S.point_to_position(F.col("l_quantity"), 0.0, 50.0, 10), S.point_to_position(F.col("l_discount"), 0.0, 0.1, 5)))
+        f = SP.relative(h, ["l_suppkey"]).select(F.col("l_suppkey").alias("id"), "bin", "f")
+        d = SP.smoothed_divergence(f, f.where("id in (1, 2, 3)").withColumnRenamed("id", "q"), [10, 5], share)
+        return d.select("q", "id", r6(F.col("d")).alias("dist"))
+
+    return run
+
+
+for _name, _share in (("sf05", 0.5), ("sf0", 0.0)):
+    _near = f" UNION ALL SELECT l_suppkey, nx, ny, {_share}*f/nn FROM nb" if _share else ""
+    add(f"dist_jsd_sparse_{_name}", _smoothed_jsd(_share), f"""WITH {_SUPP}, h AS (SELECT l_suppkey, bin%10 AS x, bin//10 AS y, n/sum(n) OVER (PARTITION BY l_suppkey) AS f FROM sup),
+nb AS (SELECT h.*, x+dx AS nx, y+dy AS ny, count(*) OVER (PARTITION BY l_suppkey,x,y) AS nn FROM h, (VALUES (-1,0),(1,0),(0,-1),(0,1)) o(dx,dy) WHERE x+dx BETWEEN 0 AND 9 AND y+dy BETWEEN 0 AND 4),
+a AS (SELECT l_suppkey, x, y, {1 - _share}*f AS f FROM h{_near}), sm AS (SELECT l_suppkey AS id, x, y, sum(f) AS f FROM a GROUP BY 1,2,3),
+k AS (SELECT p.id, q.id AS q, x, y FROM (SELECT DISTINCT id FROM sm) p, (SELECT DISTINCT id FROM sm WHERE id IN (1,2,3)) q, (SELECT DISTINCT x, y FROM sm) xy)
+SELECT k.q AS q, k.id AS id, {s6("sum((CASE WHEN l.f>0 THEN l.f*ln(2*l.f/(l.f+coalesce(r.f,0))) ELSE 0 END)+(CASE WHEN r.f>0 THEN r.f*ln(2*r.f/(coalesce(l.f,0)+r.f)) ELSE 0 END))")} AS dist
+FROM k LEFT JOIN sm l ON l.id=k.id AND l.x=k.x AND l.y=k.y LEFT JOIN sm r ON r.id=k.q AND r.x=k.x AND r.y=k.y GROUP BY 1,2""")
+
+add("text_default", lambda sp, sf: SP.text_distance(_tf(sp, sf), _ask(sp, sf), table(sp, sf, "documents").select(F.col("doc_id").alias("id"))).select("q", "id", r6(F.col("d")).alias("dist")),
+    f"{TEXT}, {_LEN}, {_BM}, t AS (SELECT ask.q, max(1-d) AS top FROM (SELECT DISTINCT q FROM ask) ask LEFT JOIN bm ON bm.q=ask.q GROUP BY 1) SELECT t.q AS q, o.id AS id, {s6('coalesce(top-coalesce(1-d,0),10000.0)')} AS dist FROM t CROSS JOIN (SELECT DISTINCT doc_id AS id FROM documents) o LEFT JOIN bm ON bm.q=t.q AND bm.id=o.id")
+
+
+def _rounded_page(scores, step):
+    return R.page(scores.select("qid", "idx", F.round("score", 9).alias("score")), step, 10).select("qid", "idx", "rank", r6(F.col("score")).alias("score"))
+
+
+_NEXT = f"SELECT qid, idx, CAST(rank AS INT) AS rank, {s6('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, idx DESC) AS rank FROM sc) WHERE rank BETWEEN 11 AND 20"
+add("text_expand", lambda sp, sf: _rounded_page(SP.text_scores(_tf(sp, sf), _ask(sp, sf)).select(F.col("q").alias("qid"), F.col("id").alias("idx"), "score"), 1),
+    f"{TEXT}, {_LEN}, {_BM}, sc AS (SELECT q AS qid, id AS idx, round(exp(-coalesce(d/nullif(avg(d) OVER (PARTITION BY q),0),d)),9) AS score FROM bm) {_NEXT}")
+add("meta_expand", lambda sp, sf: _rounded_page(SP.meta_scores(parts(sp, sf), "meta", {"brand": "Brand#11", "size": "10"}).withColumn("qid", F.lit(0)), 1),
+    f"WITH d AS (SELECT p_partkey AS idx, (CASE WHEN p_brand='Brand#11' THEN 0.0 ELSE 1.0 END)::DOUBLE+(CASE WHEN p_size=10 THEN 0 ELSE 1 END) AS d FROM part), n AS (SELECT idx, coalesce(d/nullif(avg(d) OVER (),0),d) AS n FROM d), sc AS (SELECT 0 AS qid, idx, round(exp(-n),9) AS score FROM n WHERE n<2) {_NEXT}")
+
+for _compat in (False, True):
+    add(f"eval_pnrel{'_compat' if _compat else ''}", lambda sp, sf, c=_compat: V.precision_at_relevant(_ranking(sp, sf), _truth(sp, sf), c).select("q", r6(F.col("p")).alias("p")),
+        f"{_E} SELECT h.q AS q, {s6(f'sum(CASE WHEN rel THEN 1 ELSE 0 END)/any_value(r+{int(_compat)})')} AS p FROM h JOIN sz ON sz.q=h.q WHERE r>0 AND rank<=r+{int(_compat)} GROUP BY 1")
+
+_MEANS = f"""{_CURVE}, {_P11}, one AS (SELECT h.q, arg_min(CASE WHEN rel THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END, rank) AS er, coalesce(sum(CASE WHEN rel THEN 100.0::DOUBLE*i/rank END)/any_value(r),0) AS map,
+coalesce(sum(CASE WHEN rel THEN 100.0::DOUBLE*(n-rank)/nullif(n-i,0) END)/any_value(r),0) AS amp, coalesce(sum(CASE WHEN rel THEN rank END)/nullif(sum(CASE WHEN rel THEN i END),0),0) AS are, min(rank) FILTER (rel) AS rank1,
+(coalesce(sum(CASE WHEN rel THEN rank END),0)-any_value(r)*(any_value(r)-1)/2)/(any_value(n)*any_value(r)) AS rank_tilde,
+count(*) FILTER (rel AND rank<=1)/1 AS p1, count(*) FILTER (rel AND rank<=20)/20 AS p20, count(*) FILTER (rel AND rank<=50)/50 AS p50, count(*) FILTER (rel AND rank<=r)/any_value(r) AS pnrel, count(*) FILTER (rel AND rank<=100)/any_value(r) AS r100
+FROM h JOIN sz ON sz.q=h.q WHERE r>0 GROUP BY 1), ar AS (SELECT q, sum((CASE WHEN level IN (0,1) THEN 0.5 ELSE 1.0 END)*p*0.1) AS prarea FROM pt GROUP BY 1),
+be AS (SELECT q, coalesce(max(CASE WHEN p>=0.5 THEN rc END),0) AS r_at_half, coalesce(max(least(p,rc)),0) AS break_even FROM cv GROUP BY 1)"""
+_METRICS = ["er", "map", "amp", "are", "rank1", "rank_tilde", "p1", "p20", "p50", "pnrel", "r100", "prarea", "r_at_half", "break_even"]
+add("eval_averages", lambda sp, sf: V.averages(_ranking(sp, sf), _truth(sp, sf)).select(*[r6(F.col(c).cast("double")).alias(c) for c in _METRICS], "queries"),
+    f"{_MEANS} SELECT {', '.join(f'{s6(f"avg({c})::DOUBLE")} AS {c}' for c in _METRICS)}, count(*) AS queries FROM one JOIN ar ON ar.q=one.q JOIN be ON be.q=one.q")
+
+
+def _example_truth(spark, sf):
+    """Objects of the class of a query's first example, the examples left out."""
+    o, asked = objects(spark, sf), examples(spark)
+    first = asked.groupBy("qid").agg(F.min("idx").alias("idx")).join(o.select("idx", "class"), "idx").select("qid", "class")
+    return o.select("idx", "class").join(first, "class").join(asked, ["qid", "idx"], "left_anti").select((-1 - F.col("qid")).cast("long").alias("q"), "idx")
+
+
+add("eval_examples", lambda sp, sf: V.summary(V.example_ranking(_results(sp, sf), examples(sp)), _example_truth(sp, sf)).select("q", r6(F.col("ap")).alias("ap"), F.col("rank1").cast("long").alias("rank1"), "relevant"),
+    f"""{_ALL}, kept AS (SELECT c.qid, c.idx, c.score FROM c LEFT JOIN qs ON qs.qid=c.qid AND qs.q=c.idx WHERE qs.q IS NULL), fc AS (SELECT qid, class FROM (SELECT qid, min(q) AS q FROM qs GROUP BY 1) f JOIN obj ON obj.idx=f.q),
+rk AS (SELECT kept.qid, obj.class=fc.class AS rel, row_number() OVER (PARTITION BY kept.qid ORDER BY score DESC, kept.idx DESC) AS rank FROM kept JOIN obj ON obj.idx=kept.idx JOIN fc ON fc.qid=kept.qid),
+h AS (SELECT *, sum(CASE WHEN rel THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY rank) AS i FROM rk)
+SELECT CAST(-1-qid AS BIGINT) AS q, {s6('sum(CASE WHEN rel THEN 100.0::DOUBLE*i/rank END)/count(*) FILTER (rel)')} AS ap, min(rank) FILTER (rel) AS rank1, count(*) FILTER (rel) AS relevant FROM h GROUP BY 1""")
+
+
+# Distances chosen by name, and tables by the engine's own readers and writers.
+
+for _name, _spec in (("lfhungarian", "hungarian"), ("lfsigemd", "emd"), ("glfd", None)):
+    add(f"named_{_name}", lambda sp, sf, n=_name: N.distances(objects(sp, sf), _asked(sp), [("lf", n)]).select("q", "idx", r6(F.col("d0")).alias("dist")))
+add("named_mixed", lambda sp, sf: N.distances(objects(sp, sf), examples(sp), [("v", ""), ("h", "jd")]).select("qid", "q", "idx", r6(F.col("d0")).alias("d0"), r6(F.col("d1")).alias("d1")), f"WITH {OBJ}, {QS}, {_D} SELECT qid, q, idx, {s6('d0')} AS d0, {s6('d1')} AS d1 FROM d")
+
+
+def _documents(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("idx"), "text")
+
+
+_NAMED = f"WITH {_TF}, ask AS (SELECT id AS q, term, tf FROM tf WHERE id IN (SELECT doc_id FROM documents WHERE doc_id IN (0,1,2))), {_DF}"
+add("named_bm25", lambda sp, sf: N.distances(_documents(sp, sf), _asked(sp), [("text", "bm25")]).select("q", "idx", r6(F.col("d0")).alias("dist")),
+    f"{_NAMED}, {_LEN}, {_BM} SELECT a.doc_id AS q, b.doc_id AS idx, {s6('coalesce(d,1.0)')} AS dist FROM documents a CROSS JOIN documents b LEFT JOIN bm ON bm.q=a.doc_id AND bm.id=b.doc_id WHERE a.doc_id IN (0,1,2)")
+
+
+def _through_files(make):
+    def run(spark, sf):
+        path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+        return make(spark, sf, path)
+
+    return run
+
+
+def _feature_rows(spark, sf, path):
+    FM.write_features(objects(spark, sf).select("idx", "class", "v"), path)
+    return FM.read_rows(spark, path, spark.createDataFrame([(3,), (7,), (11,)], "idx long")).select("idx", "class", F.posexplode("v").alias("p", "x")).select("idx", "class", "p", r6(F.col("x")).alias("x"))
+
+
+def _jf_rows(spark, sf, path):
+    FM.write_jf(objects(spark, sf).select("class", "v"), path)
+    back = FM.read_jf(spark, path)
+    return back.groupBy("class").agg(F.count("*").alias("n"), r6(F.sum(F.col("v")[0])).alias("x"))
+
+
+def _saved_distances(spark, sf, path):
+    R.save_distances(_normalized(spark, sf), path)
+    return spark.read.parquet(path).select("qid", "q", "idx", r6(F.col("d0")).alias("d0"), r6(F.col("d1")).alias("d1"))
+
+
+def _saved_ranks(spark, sf, path):
+    FM.write_ranks(R.top(_results(spark, sf).where("qid = 0"), 10).join(objects(spark, sf).select("idx", "name"), "idx"), path, "retrieve")
+    w = F.split("value", " ")
+    return spark.read.text(path).where("value not like '#%'").select(w[0].cast("int").alias("rank"), w[1].alias("name"), r6(w[2].cast("double")).alias("score"))
+
+
+add("io_features", _through_files(_feature_rows), f"WITH {OBJ} SELECT idx, class, CAST(i AS INT) AS p, {s6('v[i+1]')} AS x FROM obj, range(64) r(i) WHERE idx IN (3,7,11)")
+add("io_jf", _through_files(_jf_rows), f"WITH {OBJ} SELECT class, count(*) AS n, {s6('sum(v[1])')} AS x FROM obj GROUP BY 1")
+add("io_distances", _through_files(_saved_distances), SQL["normalize"])
+add("io_ranks", _through_files(_saved_ranks), f"{_ALL} SELECT rank, 'o'||idx AS name, {s6('score')} AS score FROM r WHERE qid=0 AND rank<=10")
+add("event_windows", lambda sp, sf: ST.event_histograms(table(sp, sf, "events")).select(F.col("window.start").cast("string").alias("start"), "event_type", "n", r6(F.round("total", 4)).alias("total")),
+    "SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value),4)+0.0 AS total FROM events GROUP BY 1,2")
+add("strings", lambda sp, sf: table(sp, sf, "part").select("p_partkey", F.size(S.tokens(F.col("p_name"))).alias("n"), F.lower("p_type").alias("kind")), "SELECT p_partkey, CAST(len(string_split(trim(p_name),' ')) AS INT) AS n, lower(p_type) AS kind FROM part")
+
+
+def _singular(spark, sf):
+    """How far V V' is from one and what the values leave of the squared norms: all 64 values give the whole."""
+    values, axes = C.svd(objects(spark, sf), "v", 64)
+    return objects(spark, sf).agg(r6(F.sum(total(F.transform("v", lambda x: x * x)))).alias("energy"), r6(F.lit(float((values**2).sum()))).alias("values"), r6(F.lit(float(np.abs(axes @ axes.T - np.eye(64)).max()))).alias("off"))
+
+
+add("svd_energy", _singular, f"WITH {OBJ} SELECT {s6('sum(list_sum(list_transform(v, lambda x: x*x)))')} AS energy, {s6('sum(list_sum(list_transform(v, lambda x: x*x)))')} AS \"values\", 0.0::DOUBLE AS off FROM obj")
