@@ -6,9 +6,10 @@ squares. Beam search encodes: it keeps the best partial sums, not only the greed
 is encoded, with the ratio of its norm to that of its code. A query's inner products with all codebook
 entries are a lookup table; the sum of the looked-up entries times the ratio estimates the score.
 
-Rows are dealt to parts of about ``PART`` rows by a hash, so equal and near vectors spread evenly, and listed there by their
-entry in the first book. A query goes to every part and scores the rows of the lists whose centres are nearest to it. As parts
-are alike, each gives its share of the best and at least k; the best of all are scored exactly on the vectors.
+Rows are listed by their entry in the first book, and lists that lie beside one another are cells of about ``PART`` rows; a list
+of very many rows is several cells. A query goes to the cells that hold some of its nearest lists, in blocks of queries, and
+only rows of these lists are scored. A cell gives the more candidates the nearer it is; the best of all are scored exactly on
+the vectors. Queries that find fewer than k rows there visit all lists.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from lodestar.llm.common import durable
 SAMPLE, BOOKS, ENTRIES, BEAM = 20_000, 16, 256, 8
 #: Lists of the first book that a query visits, and rows that are scored exactly.
 LISTS, RERANK = 160, 500
-#: Rows that one task scores together.
-PART = 2_048
+#: Rows of a cell, about; of the largest cell; and queries that meet a cell in one task.
+PART, CELL, QUERIES = 2_048, 262_144, 16_384
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -99,11 +100,11 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.empty((0, 0))
 
 
-CODED = "vec_id long, part int, code binary, ratio double"
+CODED = "vec_id long, list int, code binary, ratio double"
 
 
 def codes_of(books: np.ndarray):
-    """Arrow function: each vector's code and norm ratio."""
+    """Arrow function: each vector's list, code and norm ratio."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,55 +116,96 @@ def codes_of(books: np.ndarray):
             norm = np.linalg.norm(approx, axis=1)
             ratio = np.where(norm > 0, np.linalg.norm(x, axis=1) / np.maximum(norm, 1e-300), 1.0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("part"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio)],
-                names=["vec_id", "part", "code", "ratio"],
+                [batch.column("vec_id"), pa.array(codes[:, 0].astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio)],
+                names=["vec_id", "list", "code", "ratio"],
             )
 
     return run
 
 
-def visits_of(books: np.ndarray, lists: int):
-    """Arrow function: (query_id, v, lists), the first book's entries that each query visits as bytes."""
+def cells_of(counts: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each list its first cell, and how many cells it has; neighbouring lists of few rows share one cell."""
+    axis = np.linalg.svd(centres - centres.mean(axis=0), full_matrices=False)[2][0]
+    first, many, cell, filled = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
+    for i in np.argsort(centres @ axis, kind="stable"):
+        if counts[i] > CELL:
+            cell += filled > 0
+            first[i], many[i], filled = cell, -(-int(counts[i]) // CELL), 0
+            cell += many[i]
+            continue
+        if filled and filled + counts[i] > PART:
+            cell, filled = cell + 1, 0
+        first[i] = cell
+        filled += counts[i]
+    return first, many
+
+
+VISITS = "query_id long, cell int, rank int, v binary, lists binary"
+
+
+def visits_of(books: np.ndarray, lists: int, first: np.ndarray, many: np.ndarray):
+    """Arrow function: a row for each query and cell with some of its ``lists`` nearest lists; rank 0 is the nearest cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(batch.column("v"))
-            take = min(lists, books.shape[1])
-            near = np.argpartition(-(x @ books[0].T), take - 1, axis=1)[:, :take].astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array([r.tobytes() for r in near], pa.binary())], names=["query_id", "v", "lists"])
+            out = []
+            x = matrix(batch.column("v")) if batch.num_rows else np.empty((0, books.shape[2]))
+            for query, v in zip(batch.column("vec_id").to_pylist(), x, strict=True):
+                near = np.argsort(-(books[0] @ v), kind="stable")[:lists]
+                by_cell: dict[int, list[int]] = {}
+                for i in near.tolist():
+                    for c in range(first[i], first[i] + many[i]):
+                        by_cell.setdefault(c, []).append(i)
+                packed = v.astype(np.float32).tobytes()
+                out += [(query, c, rank, packed, np.array(held, np.uint8).tobytes()) for rank, (c, held) in enumerate(by_cell.items())]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["query_id", "cell", "rank", "v", "lists"])
 
     return run
 
 
-def scored_by(books: np.ndarray, most: int):
-    """Grouped Arrow function over a part: the best ``most`` of its rows in each query's lists."""
+def share_of(rank: int, rerank: int, k: int) -> int:
+    """Candidates that a query takes from its cell of that rank."""
+    return k + -(-rerank // (2 + rank))
+
+
+def scored_by(books: np.ndarray, rerank: int, k: int, every: bool):
+    """Grouped Arrow function over a cell and a block of queries: the best rows of each query's lists there; ``every``: all of them."""
 
     def run(key, queries: pa.Table, rows: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "estimate"]
-        if not queries.num_rows or not rows.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        ids = rows.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, ratio = ids[order], rows.column("ratio").to_numpy()[order]
-        codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-        q, out = queries.column("query_id").to_numpy(), []
-        x, visited = matrix(queries.column("v").combine_chunks()), queries.column("lists").to_pylist()
-        for start in range(0, len(q), 128):
-            block = q[start : start + 128]
-            table = np.einsum("qd,mkd->mqk", x[start : start + 128], books, optimize=True)
-            estimate = sum(table[m][:, codes[:, m]] for m in range(len(books))) * ratio[None, :]
-            near = np.zeros((len(block), books.shape[1]), bool)
-            for i, v in enumerate(visited[start : start + 128]):
-                near[i, np.frombuffer(v, np.uint8)] = True
-            estimate[~near[:, codes[:, 0]] | (block[:, None] == ids[None, :])] = -np.inf
-            take = min(most, len(ids))
-            best = np.argsort(-estimate, axis=1, kind="stable")[:, :take]
-            found = np.take_along_axis(estimate, best, axis=1)
-            good = np.isfinite(found)
-            out.append((np.repeat(block, take)[good.ravel()], ids[best][good], found[good]))
-        return pa.table([pa.array(np.concatenate([x[i] for x in out])) for i in range(3)], names=names)
+        names, out = ["query_id", "vec_id", "estimate"], [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+        if queries.num_rows and rows.num_rows:
+            ids, ratio = rows.column("vec_id").to_numpy(), rows.column("ratio").to_numpy()
+            codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            order = np.lexsort((ids, codes[:, 0]))
+            ids, ratio, codes = ids[order], ratio[order], codes[order]
+            held = np.searchsorted(codes[:, 0], np.arange(257))
+            q, rank = queries.column("query_id").to_numpy(), queries.column("rank").to_numpy()
+            x = np.frombuffer(b"".join(queries.column("v").to_pylist()), np.float32).reshape(len(q), -1).astype(float)
+            visited = queries.column("lists").to_pylist()
+            for start in range(0, len(q), 128):
+                block = slice(start, min(start + 128, len(q)))
+                table = np.einsum("qd,mkd->mqk", x[block], books, optimize=True)
+                near = np.zeros((len(q[block]), 256), bool)
+                for i, v in enumerate(visited[block]):
+                    near[i, np.frombuffer(v, np.uint8)] = True
+                found: list[list] = [[] for _ in range(len(near))]
+                for at in np.flatnonzero(near.any(axis=0) & (held[1:] > held[:-1])):
+                    part, asked = slice(held[at], held[at + 1]), np.flatnonzero(near[:, at])
+                    estimate = sum(table[m][np.ix_(asked, codes[part, m])] for m in range(len(books))) * ratio[part][None, :]
+                    for i, e in zip(asked, estimate, strict=True):
+                        found[i].append((ids[part], e))
+                for i, parts in enumerate(found):
+                    if parts:
+                        who, score = (np.concatenate([p[j] for p in parts]) for j in (0, 1))
+                        who, score = who[who != q[start + i]], score[who != q[start + i]]
+                        take = len(who) if every else min(len(who), share_of(int(rank[start + i]), rerank, k))
+                        best = np.lexsort((who, -score))[:take]
+                        out[0].append(np.full(take, q[start + i]))
+                        out[1].append(who[best])
+                        out[2].append(score[best])
+        return pa.table([pa.array(np.concatenate(x)) for x in out], names=names)
 
     return run
 
@@ -193,15 +235,30 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     chosen = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows
     books = train(matrix(chosen.select("v").limit(SAMPLE).toArrow().column(0).combine_chunks()))
 
-    parts = max(1, -(-total // PART))
-    salted = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    coded = durable(salted.mapInArrow(codes_of(books), CODED), "ann-codes")
-    visits = rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).mapInArrow(visits_of(books, lists), "query_id long, v array<double>, lists binary")
-    visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    share = -(-3 * rerank // (2 * parts)) + 2 * k
-    found = visits.groupBy("part").cogroup(coded.groupBy("part")).applyInArrow(scored_by(books, share), "query_id long, vec_id long, estimate double")
+    coded = durable(rows.mapInArrow(codes_of(books), CODED), "ann-codes")
+    counts = np.zeros(books.shape[1], np.int64)
+    for r in coded.groupBy("list").count().collect():
+        counts[r["list"]] = r["count"]
+    first, many = cells_of(counts, books[0])
+    place = coded.sparkSession.createDataFrame([(i, int(a), int(n)) for i, (a, n) in enumerate(zip(first, many, strict=True))], "list int, first int, many int")
+    of = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("many"))).cast("int")
+    celled = coded.join(F.broadcast(place), "list").select(of.alias("cell"), "vec_id", "code", "ratio")  # one row for each list
+    asked = rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0)
     best = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "vec_id")
-    short = durable(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= rerank).select("query_id", "vec_id"), "ann-short")
+
+    def searched(queries: DataFrame, lists: int) -> DataFrame:
+        """(query_id, vec_id): the rows that are scored exactly."""
+        blocks = max(1, -(-queries.count() // QUERIES))
+        visits = queries.mapInArrow(visits_of(books, lists, first, many), VISITS).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks).cast("long")))
+        met = celled.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        found = visits.groupBy("cell", "block").cogroup(met.groupBy("cell", "block")).applyInArrow(scored_by(books, rerank, k, rerank >= total), "query_id long, vec_id long, estimate double")
+        return durable(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= rerank).select("query_id", "vec_id"), "ann-short")
+
+    short = searched(asked, lists)
+    thin = asked.join(short.groupBy(F.col("query_id").alias("vec_id")).count().where(F.col("count") >= min(k, total - 1)).select("vec_id"), "vec_id", "left_anti")
+    if lists < books.shape[1] and thin.limit(1).count():
+        thin = durable(thin, "ann-thin")
+        short = short.join(thin.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").union(searched(thin, books.shape[1]))
     exact = short.join(rows, "vec_id").join(rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     exact = exact.select("query_id", "vec_id", F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score"))
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
