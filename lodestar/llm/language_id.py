@@ -25,7 +25,9 @@ EVIDENCE = 60
 #: Pseudo-counts of declarations and suffixes, and of the host levels.
 SMOOTH, LEVEL = 1.0, 5.0
 
-DROPPED = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.DOTALL | re.IGNORECASE)
+#: Heads of what is not shown, up to the end that each asks for; without that end they are tags like any other.
+HIDDEN = re.compile(r"<(script|style|noscript|template)\b|<!--", re.IGNORECASE)
+ENDS = {x: re.compile(rf"</{x}\s*>", re.IGNORECASE) for x in ("script", "style", "noscript", "template")} | {"": re.compile("-->")}
 TAG = re.compile(r"<[^>]*>")
 DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.IGNORECASE)
 FOLD = np.arange(256, dtype=np.uint32)
@@ -42,8 +44,24 @@ def trigrams(text: bytes) -> np.ndarray:
     return ((((x[:-2] << 16) | (x[1:-1] << 8) | x[2:]) * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
 
 
+def dropped(page: str) -> str:
+    """The page without hidden parts, in time proportional to its length: an end that is missing is looked for once."""
+    out, at, missing = [], 0, set()
+    for head in HIDDEN.finditer(page):
+        kind = (head[1] or "").lower()
+        if head.start() < at or kind in missing:
+            continue
+        end = ENDS[kind].search(page, head.end())
+        if end is None:
+            missing.add(kind)
+            continue
+        out += [page[at : head.start()], " "]
+        at = end.end()
+    return "".join([*out, page[at:]])
+
+
 def visible(page: str) -> str:
-    return html.unescape(TAG.sub(" ", DROPPED.sub(" ", page)))
+    return html.unescape(TAG.sub(" ", dropped(page)))
 
 
 def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
