@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import durable, small
+from lodestar.llm.common import discard, durable, small
 from lodestar.llm.decontamination import contained_items
 from lodestar.llm.jaccard_join import jaccard_components
 from lodestar.llm.packing import pack
@@ -20,7 +20,7 @@ WIDTH, PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps. Rows without words are rejected; null ids and repeated rows are decided alike by their text; an empty table stays empty."""
     return keep_good(docs)
 
 
@@ -28,27 +28,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of linked documents: that with the smallest id. Rows with a null id stay."""
     found = durable(jaccard_components(docs, width=WIDTH, percent=PERCENT), "pipeline-components")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        # Rows that share an id: one stays, the least by its text.
-        first = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("row"))
+        # Rows that share an id: one stays, the least by its text, one without text only if there is no other.
+        first = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), "text")).alias("row"))
         docs = first.select(*[F.col(f"row.{c}").alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
     dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(small(dropped, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item. Rows with a null id, a null or an empty text stay; all rows of an id go with the first that contains one."""
     leaks = durable(contained_items(docs, table(spark, sf_dir, "benchmark")), "pipeline-leaks").select("doc_id").distinct()
     return docs.join(small(leaks, BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark."""
+    """All documents, secrets replaced by a mark. Null and empty texts stay as they are, and all rows and columns."""
     redacted = redact_secrets(docs)
     return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else redacted
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences. A null or empty text is its end id alone; repeated rows are packed as often as they occur."""
     return pack(docs, tokenizer("byte_bpe_50k.json"))
 
 
@@ -60,9 +60,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; every stage's rows are a table in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
 
 
