@@ -180,12 +180,13 @@ REGISTRY: dict[str, Builder] = {
     "crosscorrelation": cross_correlation_1d,
     "binary": binary, "binaryfeature": binary,
     "metafeature": meta,
-    "sparsejsd": sparse_jsd,
-    "sparsefidelity": sparse_fidelity,
     "histpair": histogram_pair,
     "facefeature": faces, "facefeat": faces,
 }
 
+#: Names of the distances of maps from bin to share, which the names of dense ones stand for on such columns.
+SPARSE: dict[str, Builder] = {"sparsejsd": sparse_jsd, "sparsefidelity": sparse_fidelity}
+
 #: The distance of a feature type where none is named.
 DEFAULTS = {"vector": "euclidean", "image": "idm", "histogram": "jsd", "sparse": "sparsejsd", "meta": "metafeature", "binary": "binary", "faces": "facefeature", "pair": "histpair"}
 
@@ -196,7 +197,8 @@ PARAMETERS = {"WEIGHT": ("weight", float), "CWEIGHT": ("weight", float), "D": ("
 def distance(spec: str) -> Builder:
     """The builder for ``name:KEY=value:KEY=value``; unknown names and keys raise."""
     name, *options = spec.split(":")
-    if name.lower() not in REGISTRY:
+    known = REGISTRY | SPARSE
+    if name.lower() not in known:
         raise ValueError(f"unknown distance {name!r}")
     given = {}
     for option in options:
@@ -205,5 +207,5 @@ def distance(spec: str) -> Builder:
             raise ValueError(f"unknown parameter {key!r} of distance {name!r}")
         target, convert = PARAMETERS[key.upper()]
         given[target] = convert(value)
-    builder = REGISTRY[name.lower()]
+    builder = known[name.lower()]
     return (lambda a, b: builder(a, b, **given)) if given else builder
