@@ -24,7 +24,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import WordHashes, binaries, components, discard, durable, fits, shingles, slices, small, worker_cache
@@ -443,13 +443,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     discard(links, many)
 
     # Then by all of their prefixes, but only in groups of several roots. Large groups meet as pairs of blocks.
-    placed = reps.select("node", "prefix").join(roots.select("node", "root"), "node", "left").select(F.explode("prefix").alias("h"), "node", F.coalesce("root", "node").alias("root"))
-    group = Window.partitionBy("h")
-    placed = placed.withColumns({"least": F.min("root").over(group), "most": F.max("root").over(group), "many": F.count("*").over(group)}).where("least <> most")
+    # What a group holds is counted by partial sums and joined back, as a join splits a hot element and a window does not.
+    prefixes = durable(reps.select("node", "prefix").join(roots.select("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "prefix"), "jaccard-prefixes")
+    placed = prefixes.select(F.explode("prefix").alias("h"), "node", "root")
+    mixed = placed.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("many")).where("least <> most")
+    mixed = durable(mixed.select("h", "many"), "jaccard-mixed")
+    placed = placed.join(mixed, "h")
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks)
     cells = F.when(blocks > 1, F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.xxhash64("h", F.least(i, block), F.greatest(i, block)))).otherwise(F.array("h"))
     placed = durable(placed.select(F.explode(cells).alias("h"), "node", "root"), "jaccard-placed")
+    discard(prefixes, mixed)
     links = dealt(placed.join(reps.select("node", "n", "point"), "node"), ["node", "root", "n", "point"], meetings(percent))
     discard(placed)
     pairs = links.where("kind = 0").select("a", "b").distinct()
