@@ -316,7 +316,7 @@ def fine_pairs(percent: int):
     """Arrow function over (a, b, total, left, right): the pairs (a, b) whose fine points may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):  # counts are eight bytes a coordinate there
             overlap = bound(batch.column("left").to_pylist(), batch.column("right").to_pylist())
             may = (100 + percent) * overlap >= percent * batch.column("total").to_numpy()
             yield batch.select(["a", "b"]).filter(pa.array(may))
