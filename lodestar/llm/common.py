@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Spark's setting that removes shuffle files at the end of an execution.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Distinct words that a Python worker remembers; beyond it the memory starts afresh. Longer words are not remembered.
-CACHE_WORDS, CACHED_LENGTH = 400_000, 64
+CACHE_WORDS, CACHED_LENGTH = 100_000, 64
 
 
 _own_dirs: dict[str, str] = {}
@@ -96,9 +96,10 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def worker_cache(key: Any, make: Callable[[], Any]) -> Any:
-    """What ``make`` returns, kept for later tasks of the same Python worker."""
+    """What ``make`` returns, kept for later tasks of the same Python worker until one asks for something else."""
     kept = vars(sys).setdefault("_lodestar_worker_cache", {})
     if key not in kept:
+        kept.clear()
         kept[key] = make()
     return kept[key]
 

@@ -35,7 +35,7 @@ BROADCAST_IDS = 1_000_000
 #: Texts of which common shingles are counted: one of so many; texts that hold one there, at least; shingles, at most (8 bytes each).
 SHARE, MANY, COMMON = 16, 8, 1_000_000
 #: Elements that a task keeps before it passes their counts on.
-FLUSH = 2_000_000
+FLUSH = 500_000
 #: Members of a group that one task looks at; larger groups are split into blocks, and each pair of blocks meets.
 BLOCK = 20_000
 #: Groups up to so many members emit every pair that passes the bound at once.

@@ -27,7 +27,7 @@ from lodestar.llm.common import CACHED_LENGTH, slices
 SAMPLE = 8_000
 BUCKETS = 1 << 14
 #: Distinct words whose weights a worker remembers.
-CACHE = 300_000
+CACHE = 100_000
 
 LOW, NONE, HIGH = 0, 1, 2
 UPPERS, LETTERS = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)])
