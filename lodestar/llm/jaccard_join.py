@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WordHashes, binaries, components, discard, durable, fits, shingles, slices, small, worker_cache
+from lodestar.llm.common import WordHashes, binaries, components, discard, durable, files, fits, shingles, slices, small, worker_cache
 
 GROUPS = 32
 #: Node ids of at most so many are broadcast (8 bytes each); more are joined by a shuffle.
@@ -198,7 +198,7 @@ def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
     with common elements last those who share no more than a passage or a line seldom meet.
     """
     part = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARE)) == 0)
-    many, found = MANY, durable(part.mapInArrow(counted_shingles(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= MANY), "jaccard-common")
+    many, found = MANY, durable(part.mapInArrow(counted_shingles(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= MANY), "jaccard-common", files(rows.sparkSession, COMMON))
     while not fits(found.where(F.col("n") >= many), COMMON):
         many *= 2
     out = np.sort(found.where(F.col("n") >= many).select("h").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
@@ -406,7 +406,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common = spark.sparkContext.broadcast(common_shingles(rows, width))
     signed = durable(rows.mapInArrow(signatures_of(width, percent, common), "doc_id long, n long, node long, point binary, fine binary, first long, prefix array<long>"), "jaccard-signatures")
     known = signed.where("node is not null and doc_id is not null")
-    lowest = durable(known.groupBy("node").agg(F.min("doc_id").alias("low")), "jaccard-classes")
+    narrow = files(spark, signed.count())
+    lowest = durable(known.groupBy("node").agg(F.min("doc_id").alias("low")), "jaccard-classes", narrow)
     repeated = known.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0  # an id with several rows
     reps = known.join(lowest.select("node", F.col("low").alias("doc_id")), ["node", "doc_id"], "left_semi")
     reps = reps.dropDuplicates(["node"]) if repeated else reps
@@ -418,41 +419,42 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def grouped(links: DataFrame) -> DataFrame:
         return links.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("node"))
 
-    def verified(found: DataFrame) -> DataFrame:
-        """The pairs that link, by their whole sets."""
-        found = durable(found.distinct(), "jaccard-pairs")
-        wanted = durable(found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(lowest, "node").select("node", F.col("low").alias("doc_id")), "jaccard-wanted")
+    def verified(found: DataFrame, links: DataFrame) -> DataFrame:
+        """The pairs that link, by their whole sets; found among the pairs of ``links``."""
+        most = files(spark, links.where("kind = 0").count())
+        found = durable(found.distinct(), "jaccard-pairs", most)
+        wanted = durable(found.select(F.col("a").alias("node")).union(found.select("b")).distinct().join(lowest, "node").select("node", F.col("low").alias("doc_id")), "jaccard-wanted", min(narrow, 2 * most))
         sets = rows.join(small(wanted.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi").select("text").mapInArrow(sets_of(width), "node long, elements array<long>")
         sets = durable(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]) if repeated else sets, "jaccard-sets")
         left = found.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("left")), "a")
         both = left.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("right")), "b")
         shared = both.select("a", "b", F.size(F.array_intersect("left", "right")).alias("shared"), (F.size("left") + F.size("right")).alias("total"))
-        edges = durable(shared.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b"), "jaccard-edges")
+        edges = durable(shared.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b"), "jaccard-edges", most)
         discard(found, wanted, sets)
         return edges
 
     # First, nodes meet by their smallest hash alone. Parts of a large group share their least node.
     firsts = reps.select(F.col("first").alias("h"), "node")
-    many = durable(firsts.groupBy("h").agg(F.count("*").alias("many"), F.min("node").alias("least")).where("many > 1"), "jaccard-firsts")
+    many = durable(firsts.groupBy("h").agg(F.count("*").alias("many"), F.min("node").alias("least")).where("many > 1"), "jaccard-firsts", narrow)
     parts = F.ceil(F.col("many") / BLOCK).cast("int")
     dealt_firsts = firsts.join(many, "h").select("node", F.when(parts > 1, F.xxhash64("h", F.pmod(F.xxhash64("node"), parts))).otherwise(F.col("h")).alias("h"))
     shared_least = many.where(parts > 1).select(F.col("least").alias("node"), F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.xxhash64("h", i))).alias("h"))
     links = dealt(dealt_firsts.union(shared_least).join(points, "node"), ["node", "n", "fine"], first_links(percent))
-    edges = [verified(links.select("a", "b"))]
+    edges = [verified(links.select("a", "b"), links)]
     roots = components(edges[0])
     discard(links, many)
 
     # Then by all of their prefixes, but only in groups of several roots. Large groups meet as pairs of blocks.
     # What a group holds is counted by partial sums and joined back, as a join splits a hot element and a window does not.
-    prefixes = durable(reps.select("node", "prefix").join(roots.select("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "prefix"), "jaccard-prefixes")
+    prefixes = durable(reps.select("node", "prefix").join(roots.select("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "prefix"), "jaccard-prefixes", narrow)
     placed = prefixes.select(F.explode("prefix").alias("h"), "node", "root")
     mixed = placed.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("many")).where("least <> most")
-    mixed = durable(mixed.select("h", "many"), "jaccard-mixed")
+    mixed = durable(mixed.select("h", "many"), "jaccard-mixed", narrow)
     placed = placed.join(mixed, "h")
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks)
     cells = F.when(blocks > 1, F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.xxhash64("h", F.least(i, block), F.greatest(i, block)))).otherwise(F.array("h"))
-    placed = durable(placed.select(F.explode(cells).alias("h"), "node", "root"), "jaccard-placed")
+    placed = durable(placed.select(F.explode(cells).alias("h"), "node", "root"), "jaccard-placed", narrow)
     discard(prefixes, mixed)
     links = dealt(placed.join(reps.select("node", "n", "point"), "node"), ["node", "root", "n", "point"], meetings(percent))
     discard(placed)
@@ -469,25 +471,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             discard(before)
         return roots
 
-    roots, most = joined(verified(pairs)), FIRST_LIST
+    roots, most = joined(verified(pairs, links)), FIRST_LIST
     while True:
         placed = grouped(links).join(roots.select("node", "root"), "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
         mixed = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-        again = durable(placed.join(mixed, "h", "left_semi"), "jaccard-again")
+        again = durable(placed.join(mixed, "h", "left_semi"), "jaccard-again", narrow)
         discard(links)
         if again.limit(1).count() == 0:
             break
         links = dealt(again.join(points, "node"), ["node", "root", "n", "fine"], later_links(percent, most))
         discard(again)
         if links.where("kind = 0").limit(1).count():
-            roots = joined(verified(links.where("kind = 0").select("a", "b")))
+            roots = joined(verified(links.where("kind = 0").select("a", "b"), links))
         most *= 16
 
     lows = roots.select("node", "root").join(lowest, "node")
     comps = lows.join(lows.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
     placed = lowest.join(comps, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(placed, "node", "left")
-    out = durable(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")), "jaccard-result")
+    out = durable(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")), "jaccard-result", narrow)
     discard(again, signed, lowest, roots, *edges)
     return out
 
