@@ -6,10 +6,17 @@ squares. Beam search encodes: it keeps the best partial sums, not only the greed
 is encoded, with the ratio of its norm to that of its code. A query's inner products with all codebook
 entries are a lookup table; the sum of the looked-up entries times the ratio estimates the score.
 
-Rows are listed by their entry in the first book, and lists that lie beside one another are cells of about ``PART`` rows; a list
-of very many rows is several cells. A query goes to the cells that hold some of its nearest lists, in blocks of queries, and
-only rows of these lists are scored. A cell gives the more candidates the nearer it is; the best of all are scored exactly on
-the vectors. Queries that find fewer than k rows there visit all lists.
+Rows are listed by their entry in the first book, and lists that lie beside one another are cells of ``PART`` rows or more; a list
+of very many rows is several cells. The search has two steps, both over cells and blocks of queries:
+
+* A query goes to the cells that hold some of its nearest lists, and only rows of these lists are estimated. A cell gives the
+  more candidates the nearer it is, and they are scored on the vectors. The k-th best score found is the query's floor.
+* No row below the floor can be among the k nearest. What a code leaves of its vector has a length, which is kept with it, so
+  the estimate plus that length times the query's is a bound of the score; so is the product with a list's centre plus the
+  length of the farthest row of the list. A query goes to the cells with a list whose bound reaches its floor, and every row whose
+  bound reaches it is scored on the vectors.
+
+So the nearest are all found, whatever the vectors; ``lists`` and ``rerank`` only say how much is spent on the floor.
 """
 
 from __future__ import annotations
@@ -21,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import durable
+from lodestar.llm.common import discard, durable
 
 #: Rows that train the codebooks, at most; codebooks, entries of each, and kept partial sums in encoding.
 SAMPLE, BOOKS, ENTRIES, BEAM = 20_000, 16, 256, 8
-#: Lists of the first book that a query visits, and rows that are scored exactly.
+#: Lists of the first book that a query visits for its floor, and rows that are scored for it.
 LISTS, RERANK = 160, 500
-#: Rows of a cell, about; of the largest cell; and queries that meet a cell in one task.
-PART, CELL, QUERIES = 2_048, 262_144, 16_384
+#: Rows of a cell, at least, and at most, as they bring their vectors; and queries that meet a cell in one task.
+PART, CELL, QUERIES = 2_048, 16_384, 16_384
+#: Cells that a table has at least if their rows allow it; each query meets most of them.
+CELLS = 24
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -100,11 +109,11 @@ def matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.empty((0, 0))
 
 
-CODED = "vec_id long, list int, code binary, ratio double"
+CODED = "vec_id long, list int, code binary, ratio double, rest double, far double, v binary"
 
 
 def codes_of(books: np.ndarray):
-    """Arrow function: each vector's list, code and norm ratio."""
+    """Arrow function: each vector's list, code, norm ratio, length of what the code leaves, distance to the list's centre, and its doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,55 +121,86 @@ def codes_of(books: np.ndarray):
                 continue
             x = matrix(batch.column("v"))
             codes = encode(x, books)
-            approx = sum(books[m][codes[:, m]] for m in range(len(books)))
+            approx = decoded(books, codes)
             norm = np.linalg.norm(approx, axis=1)
             ratio = np.where(norm > 0, np.linalg.norm(x, axis=1) / np.maximum(norm, 1e-300), 1.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), pa.array(codes[:, 0].astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio)],
-                names=["vec_id", "list", "code", "ratio"],
-            )
+            rest, far = (np.linalg.norm(x - y, axis=1) for y in (approx * ratio[:, None], books[0][codes[:, 0]]))
+            packed = (pa.array([r.tobytes() for r in y], pa.binary()) for y in (codes, x))
+            columns = [batch.column("vec_id"), pa.array(codes[:, 0].astype(np.int32)), next(packed), pa.array(ratio), pa.array(rest), pa.array(far), next(packed)]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "list", "code", "ratio", "rest", "far", "v"])
 
     return run
 
 
-def cells_of(counts: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each list its first cell, and how many cells it has; neighbouring lists of few rows share one cell."""
+def decoded(books: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return sum(books[m][codes[:, m]] for m in range(len(books)))
+
+
+def unpacked(column, kind: type = np.float64) -> np.ndarray:
+    """A matrix of the rows of a binary column."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of row pairs, added in the order of dimensions: the score, to the last digit."""
+    total = np.zeros(len(x))
+    for a, b in zip(x.T, y.T, strict=True):
+        total += a * b
+    return total
+
+
+def slack(size: int, one, other):
+    """More than rounding can change in an inner product of vectors of these lengths."""
+    return 16 * (size + 16) * np.finfo(float).eps * one * other
+
+
+def cells_of(counts: np.ndarray, centres: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each list its first cell, and how many cells it has; neighbouring lists of few rows share one cell of ``part`` rows."""
     axis = np.linalg.svd(centres - centres.mean(axis=0), full_matrices=False)[2][0]
     first, many, cell, filled = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
     for i in np.argsort(centres @ axis, kind="stable"):
-        if counts[i] > CELL:
+        if counts[i] > part:
             cell += filled > 0
-            first[i], many[i], filled = cell, -(-int(counts[i]) // CELL), 0
+            first[i], many[i], filled = cell, -(-int(counts[i]) // part), 0
             cell += many[i]
             continue
-        if filled and filled + counts[i] > PART:
+        if filled and filled + counts[i] > part:
             cell, filled = cell + 1, 0
         first[i] = cell
         filled += counts[i]
     return first, many
 
 
-VISITS = "query_id long, cell int, rank int, v binary, lists binary"
+VISITS = "query_id long, cell int, rank int, floor double, v binary, lists binary"
 
 
-def visits_of(books: np.ndarray, lists: int, first: np.ndarray, many: np.ndarray):
-    """Arrow function: a row for each query and cell with some of its ``lists`` nearest lists; rank 0 is the nearest cell."""
+def visits_of(books: np.ndarray, lists: int, first: np.ndarray, many: np.ndarray, far: np.ndarray | None = None):
+    """Arrow function: a row for each query and cell with some of its ``lists`` nearest lists; rank 0 is the nearest cell.
+
+    With ``far``, the distance of each list's farthest row (-1: no rows): with some list that can reach the query's floor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            x = matrix(batch.column("v")) if batch.num_rows else np.empty((0, books.shape[2]))
-            for query, v in zip(batch.column("vec_id").to_pylist(), x, strict=True):
-                near = np.argsort(-(books[0] @ v), kind="stable")[:lists]
+            x = unpacked(batch.column("v")) if batch.num_rows else np.empty((0, books.shape[2]))
+            for query, v, floor in zip(batch.column("vec_id").to_pylist(), x, batch.column("floor").to_pylist(), strict=True):
+                near = books[0] @ v
+                if far is None:
+                    taken = np.argsort(-near, kind="stable")[:lists]
+                else:
+                    length, centre = np.linalg.norm(v), np.linalg.norm(books[0], axis=1)
+                    taken = np.flatnonzero((far >= 0) & ~(near + length * far + slack(len(v), length, centre + far) < floor))
                 by_cell: dict[int, list[int]] = {}
-                for i in near.tolist():
+                for i in taken.tolist():
                     for c in range(first[i], first[i] + many[i]):
                         by_cell.setdefault(c, []).append(i)
-                packed = v.astype(np.float32).tobytes()
-                out += [(query, c, rank, packed, np.array(held, np.uint8).tobytes()) for rank, (c, held) in enumerate(by_cell.items())]
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["query_id", "cell", "rank", "v", "lists"])
+                packed = v.tobytes()
+                out += [(query, c, rank, floor, packed, np.array(held, np.uint8).tobytes()) for rank, (c, held) in enumerate(by_cell.items())]
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.binary(), pa.binary()]
+            names = ["query_id", "cell", "rank", "floor", "v", "lists"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
@@ -171,18 +211,19 @@ def share_of(rank: int, rerank: int, k: int) -> int:
 
 
 def scored_by(books: np.ndarray, rerank: int, k: int, every: bool):
-    """Grouped Arrow function over a cell and a block of queries: the best rows of each query's lists there; ``every``: all of them."""
+    """Grouped Arrow function over a cell and a block of queries: for each query the ``k`` best scores among the best by estimate of
+    its lists there (``every``: all of them), less what rounding can change.
+    """
 
     def run(key, queries: pa.Table, rows: pa.Table) -> pa.Table:
-        names, out = ["query_id", "vec_id", "estimate"], [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+        out = [[np.empty(0, np.int64)], [np.empty(0)]]
         if queries.num_rows and rows.num_rows:
-            ids, ratio = rows.column("vec_id").to_numpy(), rows.column("ratio").to_numpy()
-            codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            ids, ratio, vectors = rows.column("vec_id").to_numpy(), rows.column("ratio").to_numpy(), unpacked(rows.column("v"))
+            codes = unpacked(rows.column("code"), np.uint8)
             order = np.lexsort((ids, codes[:, 0]))
-            ids, ratio, codes = ids[order], ratio[order], codes[order]
-            held = np.searchsorted(codes[:, 0], np.arange(257))
-            q, rank = queries.column("query_id").to_numpy(), queries.column("rank").to_numpy()
-            x = np.frombuffer(b"".join(queries.column("v").to_pylist()), np.float32).reshape(len(q), -1).astype(float)
+            ids, ratio, codes, vectors = ids[order], ratio[order], codes[order], vectors[order]
+            held, length = np.searchsorted(codes[:, 0], np.arange(257)), np.linalg.norm(vectors, axis=1)
+            q, rank, x = queries.column("query_id").to_numpy(), queries.column("rank").to_numpy(), unpacked(queries.column("v"))
             visited = queries.column("lists").to_pylist()
             for start in range(0, len(q), 128):
                 block = slice(start, min(start + 128, len(q)))
@@ -192,20 +233,64 @@ def scored_by(books: np.ndarray, rerank: int, k: int, every: bool):
                     near[i, np.frombuffer(v, np.uint8)] = True
                 found: list[list] = [[] for _ in range(len(near))]
                 for at in np.flatnonzero(near.any(axis=0) & (held[1:] > held[:-1])):
-                    part, asked = slice(held[at], held[at + 1]), np.flatnonzero(near[:, at])
+                    part, asked = np.arange(held[at], held[at + 1]), np.flatnonzero(near[:, at])
                     estimate = sum(table[m][np.ix_(asked, codes[part, m])] for m in range(len(books))) * ratio[part][None, :]
                     for i, e in zip(asked, estimate, strict=True):
-                        found[i].append((ids[part], e))
+                        found[i].append((part, e))
                 for i, parts in enumerate(found):
                     if parts:
                         who, score = (np.concatenate([p[j] for p in parts]) for j in (0, 1))
-                        who, score = who[who != q[start + i]], score[who != q[start + i]]
+                        other = ids[who] != q[start + i]
+                        who, score = who[other], score[other]
                         take = len(who) if every else min(len(who), share_of(int(rank[start + i]), rerank, k))
-                        best = np.lexsort((who, -score))[:take]
-                        out[0].append(np.full(take, q[start + i]))
-                        out[1].append(who[best])
-                        out[2].append(score[best])
-        return pa.table([pa.array(np.concatenate(x)) for x in out], names=names)
+                        if take < len(who):
+                            who = who[np.argpartition(-score, take - 1)[:take]]
+                        v = x[start + i]
+                        best = np.sort(vectors[who] @ v - slack(len(v), np.linalg.norm(v), length[who]))[::-1][:k]
+                        out[0].append(np.full(len(best), q[start + i]))
+                        out[1].append(best)
+        return pa.table([pa.array(np.concatenate(x)) for x in out], names=["query_id", "score"])
+
+    return run
+
+
+def proved_by(books: np.ndarray, k: int):
+    """Grouped Arrow function over a cell and a block of queries: each query's ``k`` best rows there of those at its floor or above."""
+
+    def run(key, queries: pa.Table, rows: pa.Table) -> pa.Table:
+        out = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+        if queries.num_rows and rows.num_rows:
+            ids, vectors = rows.column("vec_id").to_numpy(), unpacked(rows.column("v"))
+            # Of equal vectors only the least ids can be among the nearest, one more than k as the query itself may be one.
+            same = np.unique(np.ascontiguousarray(vectors).view(f"V{vectors.shape[1] * 8}").ravel(), return_inverse=True)[1].ravel()
+            order = np.lexsort((ids, same))
+            order = order[np.arange(len(ids)) - np.searchsorted(same[order], same[order]) <= k]
+            ids, vectors, rest = ids[order], vectors[order], rows.column("rest").to_numpy()[order]
+            codes = decoded(books, unpacked(rows.column("code"), np.uint8)[order]) * rows.column("ratio").to_numpy()[order][:, None]
+            q, floors, x = queries.column("query_id").to_numpy(), queries.column("floor").to_numpy(), unpacked(queries.column("v"))
+            order = np.argsort(np.argmax(x @ books[0].T, axis=1), kind="stable")  # queries that lie together ask for the same rows
+            q, floors, x = q[order], floors[order], x[order]
+            length, longest = np.linalg.norm(x, axis=1), np.linalg.norm(vectors, axis=1).max()
+            for start in range(0, len(q), 256):
+                block = slice(start, start + 256)
+                low = (floors[block] - slack(x.shape[1], length[block], longest))[:, None]
+                bound = x[block] @ codes.T
+                bound += length[block][:, None] * rest[None, :]
+                asked = np.flatnonzero((~(bound < low)).any(axis=0))  # so that NaN, of products beyond the largest double, stays
+                score = x[block] @ vectors[asked].T
+                score[q[block][:, None] == ids[asked][None, :]] = -np.inf
+                if len(asked) > k:
+                    enough = np.flatnonzero((~(score < low)).sum(axis=1) > k)
+                    last = np.partition(score[enough], len(asked) - k, axis=1)[:, len(asked) - k]
+                    low[enough, 0] = np.fmax(low[enough, 0], last - 2 * slack(x.shape[1], length[block][enough], longest))
+                i, j = np.nonzero(~(score < low) & (q[block][:, None] != ids[asked][None, :]))
+                exact, i, j = products(x[block][i], vectors[asked][j]), q[block][i], ids[asked][j]
+                order = np.lexsort((j, -exact, i))
+                i, j, exact = i[order], j[order], exact[order]
+                best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                for o, y in zip(out, (i, j, exact), strict=True):
+                    o.append(y[best])
+        return pa.table([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -218,14 +303,14 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, lists: int = LISTS, rerank: int = RERANK) -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): the ``k`` found with the largest inner products for each query.
+    """Rows (query_id, rank, vec_id, score): the ``k`` with the largest inner products for each query, all of them.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows but the query's own. Ties go to the smaller
     vec_id. Vectors that are null, empty, zero, or hold nulls or non-finite numbers take no part, nor do null ids; rows that repeat
     an id count once, by their least vector. All vectors have the length of the most; others take no part. An empty table
     gives no rows.
     """
-    rows = durable(usable(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-vectors")
+    stored = rows = durable(usable(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-vectors")
     lengths = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
     if not lengths:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
@@ -236,30 +321,28 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     books = train(matrix(chosen.select("v").limit(SAMPLE).toArrow().column(0).combine_chunks()))
 
     coded = durable(rows.mapInArrow(codes_of(books), CODED), "ann-codes")
-    counts = np.zeros(books.shape[1], np.int64)
-    for r in coded.groupBy("list").count().collect():
-        counts[r["list"]] = r["count"]
-    first, many = cells_of(counts, books[0])
+    discard(stored)
+    counts, far = np.zeros(books.shape[1], np.int64), np.full(books.shape[1], -1.0)
+    for r in coded.groupBy("list").agg(F.count("*").alias("count"), F.max("far").alias("far")).collect():
+        counts[r["list"]], far[r["list"]] = r["count"], r["far"]
+    first, many = cells_of(counts, books[0], min(CELL, max(PART, total // CELLS)))
     place = coded.sparkSession.createDataFrame([(i, int(a), int(n)) for i, (a, n) in enumerate(zip(first, many, strict=True))], "list int, first int, many int")
     of = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("many"))).cast("int")
-    celled = coded.join(F.broadcast(place), "list").select(of.alias("cell"), "vec_id", "code", "ratio")  # one row for each list
-    asked = rows.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0)
-    best = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "vec_id")
-
-    def searched(queries: DataFrame, lists: int) -> DataFrame:
-        """(query_id, vec_id): the rows that are scored exactly."""
-        blocks = max(1, -(-queries.count() // QUERIES))
-        visits = queries.mapInArrow(visits_of(books, lists, first, many), VISITS).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks).cast("long")))
-        met = celled.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        found = visits.groupBy("cell", "block").cogroup(met.groupBy("cell", "block")).applyInArrow(scored_by(books, rerank, k, rerank >= total), "query_id long, vec_id long, estimate double")
-        return durable(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= rerank).select("query_id", "vec_id"), "ann-short")
-
-    short = searched(asked, lists)
-    thin = asked.join(short.groupBy(F.col("query_id").alias("vec_id")).count().where(F.col("count") >= min(k, total - 1)).select("vec_id"), "vec_id", "left_anti")
-    if lists < books.shape[1] and thin.limit(1).count():
-        thin = durable(thin, "ann-thin")
-        short = short.join(thin.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").union(searched(thin, books.shape[1]))
-    exact = short.join(rows, "vec_id").join(rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    exact = exact.select("query_id", "vec_id", F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score"))
+    celled = coded.join(F.broadcast(place), "list").select(of.alias("cell"), "vec_id", "code", "ratio", "rest", "v")  # one row for each list
+    asked = coded.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).select("vec_id", "v")
+    blocks = max(1, -(-asked.count() // QUERIES))
+    met = celled.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).groupBy("cell", "block")
+
+    def searched(queries: DataFrame, visits, by, schema: str) -> DataFrame:
+        dealt = queries.mapInArrow(visits, VISITS).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks).cast("long")))
+        return dealt.groupBy("cell", "block").cogroup(met).applyInArrow(by, schema)
+
+    found = searched(asked.withColumn("floor", F.lit(0.0)), visits_of(books, lists, first, many), scored_by(books, rerank, k, rerank >= total), "query_id long, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    floors = durable(found.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor")), "ann-floors")
+    # A query that found fewer than k rows has no floor and meets every row.
+    low = asked.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    near = searched(low, visits_of(books, lists, first, many, far), proved_by(books, k), "query_id long, vec_id long, score double")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(final).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = durable(near.withColumn("rank", F.row_number().over(final).cast("int")).where(F.col("rank") <= k), "ann-near")
+    return near.select("query_id", "rank", "vec_id", "score")

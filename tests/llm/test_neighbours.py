@@ -53,3 +53,17 @@ def test_queries_with_few_rows_in_their_lists_visit_all(spark, tmp_path, lists,
     got = A.neighbours(table(spark, tmp_path, x), lists=lists).toPandas()
     assert (got.groupby("query_id").size() == 20).all() and got.query_id.nunique() == 35
     assert not (got.query_id == got.vec_id).any() and not got.duplicated(["query_id", "vec_id"]).any()
+
+
+@pytest.mark.parametrize("kind", ["long", "beside", "wide"])
+def test_no_nearest_vector_is_missed(spark, tmp_path, kind):
+    """Vectors of very unequal lengths, far from zero and close together, of many dimensions: all nearest are found with few rows spent on the floor, too."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2_500, 160 if kind == "wide" else 24))
+    if kind == "long":
+        x *= np.exp(rng.normal(size=(2_500, 1)))
+    elif kind == "beside":
+        x = 0.05 * x + rng.normal(size=24)
+    x[300:340] = x[300]  # ties
+    got = A.neighbours(table(spark, tmp_path, x), every=50, lists=160, rerank=100).toPandas().sort_values(["query_id", "rank"])
+    assert {q: g.vec_id.tolist() for q, g in got.groupby("query_id")} == brute(x, range(0, 2_500, 50))
