@@ -26,3 +26,20 @@ def test_no_pairs_of_objects_are_shuffled(spark):
     assert found.count() == 300 * 299
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan
+
+
+def test_pairs_of_very_many_objects_or_repeated_ids_are_not_shuffled(spark):
+    """More than a million objects in three classes; ids that come twice, whose words are put together first."""
+    many = spark.range(1_100_000).selectExpr("id AS idx", "array('z', concat('w', id % 3)) AS w")
+    twice = spark.createDataFrame([*ROWS, (1, ["c"]), (3, ["e"]), (3, None)], "idx long, w array<string>")
+    for df in (many, twice):
+        plan = V.truth_by_overlap(df, "w")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "HashAggregate" not in plan
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_classes_of_several_arrays(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(V, "LENGTH", 3)
+    monkeypatch.setattr(V, "MEMBERS", 1_000 if broadcast else 10)
+    rows = [(i, [f"w{i % 4}", f"x{i % 3}"]) for i in range(60)] + ROWS[4:6]
+    assert sorted(map(tuple, V.truth_by_overlap(spark.createDataFrame(rows, "idx long, w array<string>"), "w").collect())) == brute(rows)
