@@ -43,3 +43,14 @@ def test_classes_of_several_arrays(spark, monkeypatch, broadcast):
     monkeypatch.setattr(V, "MEMBERS", 1_000 if broadcast else 10)
     rows = [(i, [f"w{i % 4}", f"x{i % 3}"]) for i in range(60)] + ROWS[4:6]
     assert sorted(map(tuple, V.truth_by_overlap(spark.createDataFrame(rows, "idx long, w array<string>"), "w").collect())) == brute(rows)
+
+
+def test_stemmed_overlap_of_parts_that_come_twice(spark, tmp_path):
+    from lodestar.plans import registry
+
+    parts = [(1, "blue lace"), (2, "green"), (1, "green peru"), (3, "lace"), (4, "navy"), (5, None), (3, "navy")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    found = registry.queries()["gt_stemmed_overlap"](spark, str(tmp_path)).select("q", "idx")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == brute([(k, n and n.split(" ")) for k, n in parts])
+    assert "HashAggregate" not in plan
